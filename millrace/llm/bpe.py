@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 # Code points that the `regex` package takes for letters or numbers (a later Unicode
 # version) while the tiktoken library's tables leave them unassigned.
 LATER_LETTERS = (
@@ -238,6 +240,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     Encode and decode in one pass over whole texts; a null text counts as empty.  ids_sha256 is over
     the decimal ids joined by commas, decoded_sha256 over the bytes that the ids decode to.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path, pattern)

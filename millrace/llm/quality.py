@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fit import Adam, Scale, fold, labelled_sample, sigmoid
+from .storage import bounded_batches
 from .words import Words, each_block
 
 PASSAGE = 64
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_DO
     label the model is the untrained one.  Half the sample at most is of one label; the offset is
     then moved to the label's share among all labelled rows.
     """
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, keep, most)
     rows = sample.mapInArrow(_passage_map, "doc_id long, y int, passages binary").orderBy("doc_id").toArrow()
     model = AttentionMIL()

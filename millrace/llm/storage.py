@@ -37,6 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Keep Arrow batches of texts small: a worker holds a batch, and so does the JVM beside it.
+
+    Only Spark's own default (64 MiB) is lowered; a size that the session sets otherwise stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`new_folder` through the file system that holds it."""
     jvm = spark._jvm

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fit import Adam, Scale, fold, labelled_sample, sigmoid
-from .storage import materialize
+from .storage import bounded_batches, materialize
 from .words import Words, each_block, grams
 
 TRAIN_DOCS = 6000  # bound of the labelled sample
@@ -232,6 +232,7 @@ class ToxicModel:
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_DOCS) -> ToxicModel:
     """Lexicon and weights from at most ``most`` labelled documents for which ``keep`` holds; whole texts count."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", keep, most)
     model = ToxicModel(learn_terms(sample))
     rows = sample.mapInArrow(_feature_map(model.terms, [0, 2], ["doc_id", "y"], 1), "doc_id long, y int, x array<double>").orderBy("doc_id").toArrow()
