@@ -15,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import bounded_batches, materialize
 from .words import Words, each_block, grams, list_column
 
 FOLD = 5
 LONGEST = 16
-GRAM = 2
-WINDOW = 4
+GRAM = 3
+WINDOW = 5
+BROADCAST_ROWS = 200_000  # documents with runs; beyond it the join shuffles
 
 
 def _lines(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,25 +70,16 @@ def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _feature_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, lines, sizes, at, prints): short hashes and word counts of lines, fingerprints and their lines."""
     for batch in batches:
         for i, words, data in each_block(batch.column(2)):
             at, bounds = _lines(words, data)
             h, size = _line_hashes(words, at)
-            cut = [(bounds[d], bounds[d + 1]) for d in range(words.n_docs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), list_column([h[a:b] for a, b in cut], pa.int64()), list_column([size[a:b].astype(np.int32) for a, b in cut], pa.int32())],
-                names=["key", "doc_id", "lines", "sizes"],
-            )
-
-
-def _print_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(2)
-        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        prints = [winnow(flat[a:b]) for a, b in zip(offs, offs[1:], strict=False)]
-        row = pa.array(np.repeat(np.arange(len(prints)), [len(x) for x, _ in prints]))
-        at, h = (np.concatenate([p[k] for p in prints]) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["key", "doc_id", "pos", "print"])
+            short, size = (h >> np.uint64(32)).astype(np.uint32).view(np.int32), size.astype(np.int32)
+            cut = list(zip(bounds[:-1], bounds[1:], strict=True))
+            prints = [winnow(h[a:b]) for a, b in cut]
+            lists = [list_column([short[a:b] for a, b in cut], pa.int32()), list_column([size[a:b] for a, b in cut], pa.int32()), list_column([x.astype(np.int32) for x, _ in prints], pa.int32()), list_column([y for _, y in prints], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), *lists], names=["key", "doc_id", "lines", "sizes", "at", "prints"])
 
 
 def _extend(own: np.ndarray, other: np.ndarray, pos: list[int], shift: int) -> list[tuple[int, int]]:
@@ -131,16 +124,20 @@ def repeated_runs(docs: DataFrame, least_lines: int = 3, least_words: int = 20,
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, lines array<long>, sizes array<int>"), "lines")
-    prints = feats.select("key", "doc_id", "lines").mapInArrow(_print_map, "key long, doc_id long, pos int, print long")
+    feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, lines array<int>, sizes array<int>, at array<int>, prints array<long>"), "lines")
+    prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
     # the first place of each fingerprint; a partial aggregate reduces frequent ones before the shuffle
     first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", F.col("f.key").alias("key0"), F.col("f.pos").alias("pos0"))
     matches = prints.join(first, "print").where("key <> key0 or pos <> pos0").groupBy("key", "key0", (F.col("pos") - F.col("pos0")).alias("shift")).agg(F.collect_set("pos").alias("pos"))
     matches = materialize(matches, "matches")
     # a document that repeats in full has equal keys only if its doc_id repeats, then it is one document
-    own = feats.select("key", F.col("lines").alias("own"), "sizes").dropDuplicates(["key"])
-    other = feats.select(F.col("key").alias("key0"), F.col("lines").alias("other")).join(matches.select("key0").distinct(), "key0", "left_semi").dropDuplicates(["key0"])
-    pairs = matches.join(own, "key").join(other, "key0").select("key", "shift", "pos", "own", "sizes", "other")
+    def lines_of(name: str, *more: str) -> DataFrame:
+        own = feats.select(F.col("key").alias(name), "lines", *more)
+        return own.join(matches.select(name).distinct(), name, "left_semi").dropDuplicates([name])
+
+    other = lines_of("key0").withColumnRenamed("lines", "other")
+    own = lines_of("key", "sizes").withColumnRenamed("lines", "own")
+    pairs = matches.join(other, "key0").join(own, "key").select("key", "shift", "pos", "own", "sizes", "other")
     return pairs.mapInArrow(_extend_map(least_lines, least_words), "key long, begin int, end int")
 
 
@@ -163,32 +160,51 @@ def _cut(data: np.ndarray, words: Words, at: np.ndarray, a: int, b: int, lo: int
 def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, deleted = batch.column(at_text).to_pylist(), [0] * batch.num_rows
+            text, deleted, changed = batch.column(at_text), np.zeros(batch.num_rows, np.int64), {}
             runs = batch.column(at_runs).to_pylist()
-            for i, words, data in each_block(batch.column(at_text)):
+            for i, words, data in each_block(text):
                 if not any(runs[i : i + words.n_docs]):
                     continue
                 at, bounds = _lines(words, data)
                 for d in range(words.n_docs):
                     if runs[i + d]:
-                        text = texts[i + d].encode("utf-8")
-                        lo = int(words.begin[words.first[d]]) - (len(text) - len(text.lstrip(b" \t\n\v\f\r")))
-                        left, deleted[i + d] = _cut(data, words, at, int(bounds[d]), int(bounds[d + 1]), lo, lo + len(text), [[r["begin"], r["end"]] for r in runs[i + d]])
-                        texts[i + d] = left.decode("utf-8")
-            columns = [pa.array(texts, pa.string()) if k == at_text else batch.column(k) for k in range(batch.num_columns) if k != at_runs]
+                        own = text[i + d].as_py().encode("utf-8")
+                        lo = int(words.begin[words.first[d]]) - (len(own) - len(own.lstrip(b" \t\n\v\f\r")))
+                        left, deleted[i + d] = _cut(data, words, at, int(bounds[d]), int(bounds[d + 1]), lo, lo + len(own), [(r >> 32, r & 0xFFFFFFFF) for r in runs[i + d]])
+                        changed[i + d] = left.decode("utf-8")
+            mask = np.zeros(batch.num_rows, bool)
+            mask[list(changed)] = True
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], text.type))
+            columns = [text if k == at_text else batch.column(k) for k in range(batch.num_columns) if k != at_runs]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(deleted, pa.int64())] if counts else columns, names=[*names, "deleted_words"] if counts else names)
 
     return run
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans (begin << 32 | end) with those that overlap or touch made one."""
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        end = last.bitwiseAND(0xFFFFFFFF)
+        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last - end + F.greatest(end, x.bitwiseAND(0xFFFFFFFF))))
+        return F.when((F.size(acc) > 0) & (F.shiftright(x, 32) <= end), longer).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast("array<long>"), add)
+
+
 def delete_repeated_lines(docs: DataFrame, least_lines: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with later repeated runs of lines cut out of the text; every row and every other column stays.
 
     A text all of whose lines go becomes empty; a null text stays null.  With ``counts`` a column
     deleted_words follows (any column of that name is replaced).
     """
+    bounded_batches(docs.sparkSession)
     runs = repeated_runs(docs, least_lines, least_words, id_col, text_col)
-    runs = runs.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("__runs")).withColumnRenamed("key", "__key")
+    spans = F.array_sort(F.collect_set(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("end")))
+    runs = materialize(runs.groupBy("key").agg(_merged(spans).alias("__runs")).withColumnRenamed("key", "__key"), "runs")
+    if runs.count() <= BROADCAST_ROWS:
+        runs = F.broadcast(runs)
     names = [n for n in docs.columns if not (counts and n == "deleted_words")]
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     given = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string")).withColumn("__own", key)
