@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
 from .words import each_block, grams, text_buffer, Words
 
 MOST_ITEM_BYTES = 256 << 20  # of all items together, which every task holds
@@ -86,8 +87,9 @@ class Items:
         done: dict[tuple[int, int], int] = {}
         for doc, item, start in sorted(spots):
             budget, w = self.budget[item], self.words[item]
-            if start - budget < done.get((doc, item), -1):
-                start = max(start, done[doc, item])
+            before = done.get((doc, item))
+            if before is not None and start - budget < before:
+                start = max(start, before)
             first, last = int(words.first[doc]), int(words.first[doc + 1])
             lo, hi = max(first, start - budget), min(last, start + len(w) + budget)
             if hi - lo < len(w) - budget:
@@ -106,6 +108,7 @@ class Items:
 
 def _items(benchmark: DataFrame, error: float):
     """The items for every task, or an error if they exceed the stated bound."""
+    bounded_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > MOST_ITEM_BYTES:
