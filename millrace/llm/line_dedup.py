@@ -96,26 +96,32 @@ def _extend(own: np.ndarray, other: np.ndarray, pos: list[int], shift: int) -> l
     return sorted(out)
 
 
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    offs, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)]
+
+
 def _extend_map(least_lines: int, least_words: int):
+    """(key, places, own, sizes, other) to runs; a place is a shared fingerprint's line here << 32 | there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, begins, ends = [], [], []
-            cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            key, shift, pos = (cols[n].to_pylist() for n in ("key", "shift", "pos"))
-            for k in range(batch.num_rows):
-                own, other, size = (cols[n][k].values.to_numpy() for n in ("own", "other", "sizes"))
-                for a, b in _extend(own, other, pos[k], shift[k]):
-                    if (b - a >= least_lines and int(size[a:b].sum()) >= least_words) or (b - a == len(own) == len(other) and b - a):
-                        keys.append(key[k])
-                        begins.append(a)
-                        ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["key", "begin", "end"])
+            rows, keys, found = zip(*map(_rows, batch.columns[1:]), strict=True), batch.column(0).to_pylist(), []
+            for key, (places, own, size, other) in zip(keys, rows, strict=True):
+                pos = places >> 32
+                shift = pos - (places & 0xFFFFFFFF)
+                upto = np.concatenate([[0], np.cumsum(size)])
+                for s in np.unique(shift).tolist():
+                    for a, b in _extend(own, other, pos[shift == s].tolist(), s):
+                        if (b - a >= least_lines and upto[b] - upto[a] >= least_words) or (b - a == len(own) == len(other) and b - a):
+                            found.append((key, a << 32 | b))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["key", "span"])
 
     return run
 
 
 def repeated_runs(docs: DataFrame, least_lines: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, begin, end): runs of lines that stand earlier in the corpus, by order of doc_id (null first) and position.
+    """(key, span): runs of lines (begin << 32 | end) that stand earlier in the corpus, by order of doc_id (null first) and position.
 
     ``key`` is xxhash64(doc_id, text); rows that repeat both are one document.  A run counts from
     ``least_lines`` lines and ``least_words`` words on, or as a whole document that repeats a whole
@@ -128,7 +134,8 @@ def repeated_runs(docs: DataFrame, least_lines: int = 3, least_words: int = 20,
     prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
     # the first place of each fingerprint; a partial aggregate reduces frequent ones before the shuffle
     first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", F.col("f.key").alias("key0"), F.col("f.pos").alias("pos0"))
-    matches = prints.join(first, "print").where("key <> key0 or pos <> pos0").groupBy("key", "key0", (F.col("pos") - F.col("pos0")).alias("shift")).agg(F.collect_set("pos").alias("pos"))
+    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos0")
+    matches = prints.join(first, "print").where("key <> key0 or pos <> pos0").groupBy("key", "key0").agg(F.collect_set(place).alias("places"))
     matches = materialize(matches, "matches")
     # a document that repeats in full has equal keys only if its doc_id repeats, then it is one document
     def lines_of(name: str, *more: str) -> DataFrame:
@@ -137,8 +144,8 @@ def repeated_runs(docs: DataFrame, least_lines: int = 3, least_words: int = 20,
 
     other = lines_of("key0").withColumnRenamed("lines", "other")
     own = lines_of("key", "sizes").withColumnRenamed("lines", "own")
-    pairs = matches.join(other, "key0").join(own, "key").select("key", "shift", "pos", "own", "sizes", "other")
-    return pairs.mapInArrow(_extend_map(least_lines, least_words), "key long, begin int, end int")
+    pairs = matches.join(other, "key0").join(own, "key").select("key", "places", "own", "sizes", "other")
+    return pairs.mapInArrow(_extend_map(least_lines, least_words), "key long, span long")
 
 
 def _cut(data: np.ndarray, words: Words, at: np.ndarray, a: int, b: int, lo: int, hi: int, runs: list[list[int]]) -> tuple[bytes, int]:
@@ -161,17 +168,16 @@ def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, deleted, changed = batch.column(at_text), np.zeros(batch.num_rows, np.int64), {}
-            runs = batch.column(at_runs).to_pylist()
-            for i, words, data in each_block(text):
-                if not any(runs[i : i + words.n_docs]):
-                    continue
+            which = np.flatnonzero(pc.is_valid(batch.column(at_runs)).to_numpy(zero_copy_only=False))
+            runs, own = batch.column(at_runs).take(pa.array(which)).to_pylist(), text.take(pa.array(which))
+            for i, words, data in each_block(own):
                 at, bounds = _lines(words, data)
                 for d in range(words.n_docs):
-                    if runs[i + d]:
-                        own = text[i + d].as_py().encode("utf-8")
-                        lo = int(words.begin[words.first[d]]) - (len(own) - len(own.lstrip(b" \t\n\v\f\r")))
-                        left, deleted[i + d] = _cut(data, words, at, int(bounds[d]), int(bounds[d + 1]), lo, lo + len(own), [(r >> 32, r & 0xFFFFFFFF) for r in runs[i + d]])
-                        changed[i + d] = left.decode("utf-8")
+                    raw = own[i + d].as_py().encode("utf-8")
+                    lo = int(words.begin[words.first[d]]) - (len(raw) - len(raw.lstrip(b" \t\n\v\f\r")))
+                    k = int(which[i + d])
+                    left, deleted[k] = _cut(data, words, at, int(bounds[d]), int(bounds[d + 1]), lo, lo + len(raw), [(r >> 32, r & 0xFFFFFFFF) for r in runs[i + d]])
+                    changed[k] = left.decode("utf-8")
             mask = np.zeros(batch.num_rows, bool)
             mask[list(changed)] = True
             text = pc.replace_with_mask(text, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], text.type))
@@ -201,7 +207,7 @@ def delete_repeated_lines(docs: DataFrame, least_lines: int = 3, least_words: in
     """
     bounded_batches(docs.sparkSession)
     runs = repeated_runs(docs, least_lines, least_words, id_col, text_col)
-    spans = F.array_sort(F.collect_set(F.shiftleft(F.col("begin").cast("long"), 32) + F.col("end")))
+    spans = F.array_sort(F.collect_set("span"))
     runs = materialize(runs.groupBy("key").agg(_merged(spans).alias("__runs")).withColumnRenamed("key", "__key"), "runs")
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
