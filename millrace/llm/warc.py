@@ -17,12 +17,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_folder
+from .storage import bounded_batches, materialize, new_folder
 
-ARCHIVE_BYTES = 16 << 20  # about so many bytes of payload in an archive; a task holds a few archives
+ARCHIVE_BYTES = 8 << 20  # about so many bytes of payload in an archive; a task holds a few archives
+BROADCAST_ROWS = 500_000  # repeated payloads, or captures to read back; beyond it these joins shuffle
 BLOCK_LINES = 3000
 DATE = "1970-01-01T00:00:00Z"  # pages have no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC format
@@ -48,30 +49,28 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*out)
 
 
-def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """A row for each page: page_id, url, key, payload, digest, size, refers_to, archive, place.
+def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> tuple[DataFrame, int]:
+    """A row for each page: page_id, url, payload, digest, size, refers_to; and the mean size.
 
     Of pages with equal payloads of ``least`` bytes or more, that with the largest id is a response
     (refers_to null) and the others revisit it.  Rows that repeat that id with the same payload are
-    responses too; a null id revisits, if its payload has another id.  (archive, place) is an order
-    without ties but between equal rows.
+    responses too; a null id revisits, if its payload has another id.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long")).withColumn("key", url_key(F.col("url")))
-    # one row for each payload that repeats; a partial aggregate reduces frequent ones before the shuffle
-    same = rows.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where(f"n > 1 and size >= {least} and last is not null").select("digest", F.col("size").alias("size0"), "last")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    archives = max(1, -(-total // ARCHIVE_BYTES))
-    rows = rows.join(same.withColumnRenamed("digest", "digest0"), (F.col("digest") == F.col("digest0")) & (F.col("size") == F.col("size0")), "left")
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long"))
+    # a partial aggregate reduces frequent payloads before the shuffle
+    each = materialize(rows.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "payloads")
+    mean = each.agg(F.coalesce((F.sum(F.col("size") * F.col("n")) / F.sum("n")).cast("long"), F.lit(0))).first()[0]
+    same = each.where(f"n > 1 and size >= {least} and last is not null").select(F.col("digest").alias("digest0"), F.col("size").alias("size0"), "last")
+    if same.count() <= BROADCAST_ROWS:
+        same = F.broadcast(same)
+    rows = rows.join(same, (F.col("digest") == F.col("digest0")) & (F.col("size") == F.col("size0")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return rows.select("page_id", "url", "key", "payload", "digest", "size", refers.alias("refers_to"), F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("int").alias("archive"))
+    return rows.select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to")), mean
 
 
-ORDER = ("key", "page_id", "digest", "url", "refers_to")
-
-
-def _record_texts() -> tuple[Column, Column]:
-    """The text of a record up to its payload, and its record type."""
+def _record_head() -> Column:
+    """The text of a record up to its payload."""
     revisit = F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.regexp_replace("url", r"\r", "%0D"), r"\n", "%0A")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -79,7 +78,7 @@ def _record_texts() -> tuple[Column, Column]:
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    head = F.concat(
+    return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind,
         F.lit("\r\nWARC-Record-ID: <urn:uuid:"), uuid,
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
@@ -88,20 +87,36 @@ def _record_texts() -> tuple[Column, Column]:
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("\r\nPage-ID: "), F.col("page_id").cast("string"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"), http,
     )
-    return head, kind
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write the records below ``folder``/archives and return the captures: key, page_id, digest, archive, start, length."""
-    head, _ = _record_texts()
+def write_archives(rows: DataFrame, mean: int, folder: str) -> None:
+    """Write the records below ``folder``/archives, each task its own rows: texts are not shuffled."""
     body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
-    order = [F.col(c) for c in ORDER]
-    told = rows.withColumn("head", head)
-    out = told.select("archive", *ORDER, F.concat("head", body).alias("value")).repartition("archive").sortWithinPartitions("archive", *order).select("archive", "value")
-    out.write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(f"{folder}/archives")
-    small = told.select(*ORDER, "archive", (F.octet_length("head") + F.octet_length(body) + 4).cast("long").alias("length"))
-    before = Window.partitionBy("archive").orderBy(*order, "length").rowsBetween(Window.unboundedPreceding, -1)
-    return small.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    rows.select(F.concat(_record_head(), body).alias("value")).write.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // max(1, mean))).option("lineSep", "\r\n\r\n").text(f"{folder}/archives")
+
+
+def _scan_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(archive, content) to a row for each record, found by walking from header to header."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            data, name, at, rows = memoryview(batch.column(1)[k].as_buffer()), batch.column(0)[k].as_py(), 0, []
+            while at < len(data):
+                size = 1 << 12
+                while (end := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0:
+                    size *= 4
+                fields = header_fields(bytes(data[at : at + end]))
+                length = end + 4 + int(fields["content-length"]) + 4
+                page = fields.get("page-id")
+                rows.append((fields.get("warc-target-uri", ""), int(page) if page else None, fields["warc-payload-digest"].removeprefix("sha1:"), at, length))
+                at += length
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]], names=["archive", "url", "page_id", "digest", "start", "length"])
+
+
+def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The captures in the archives: key, page_id, digest, archive, start, length."""
+    files = _files(spark, f"{folder}/archives").select("name", "content")
+    return files.mapInArrow(_scan_map, "archive string, url string, page_id long, digest string, start long, length long").withColumn("key", url_key(F.col("url"))).drop("url")
 
 
 def _block_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,20 +146,24 @@ def _block_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_index(captures: DataFrame, folder: str) -> None:
     """Sorted, blocked and compressed index below ``folder``/index, and its sparse directory below ``folder``/directory."""
-    rows = captures.select("key", "page_id", "digest", "archive", "start", "length").repartitionByRange("key", "page_id", "archive", "start").sortWithinPartitions("key", "page_id", "archive", "start")
+    rows = captures.repartitionByRange("key", "page_id", "archive", "start").sortWithinPartitions("key", "page_id", "archive", "start")
     blocks = materialize(rows.mapInArrow(_block_map, "part int, seq int, start long, length long, first_key string, lines long, data binary"), "blocks")
     blocks.repartition("part").sortWithinPartitions("part", "seq").select("part", F.col("data").cast("string").alias("value")).write.partitionBy("part").option("lineSep", "\u0000").text(f"{folder}/index")
     blocks.drop("data").write.parquet(f"{folder}/directory")
 
 
-def _with_ranges(files: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Each file's content with its (start, length) ranges in order; a file's ranges are bounded by its size."""
-    wanted = ranges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("ranges"))
-    return files.select(key, "content").join(wanted, key).select("ranges", "content")
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder's name, name, content) of the files below a folder."""
+    path = F.col("path")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select(F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("within"), F.regexp_extract(path, "[^/]+$", 0).alias("name"), "content")
 
 
-def _files(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select(F.col(key).cast("int").alias(key), "content").where(F.length("content") > 0)
+def _with_ranges(files: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """Each file's content with its (start, length) ranges in order; a file's ranges are bounded by its size."""
+    wanted = materialize(ranges.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("ranges")), "ranges")
+    if wanted.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return files.join(wanted, files[key] == wanted["__key"]).select("ranges", "content")
 
 
 def _entry_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +172,21 @@ def _entry_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = batch.column(1)[k].as_buffer()
             for r in batch.column(0)[k].as_py():
                 rows = [json.loads(x.split(" ", 2)[2]) for x in gzip.decompress(data.slice(r["start"], r["length"])).decode("utf-8").split("\n")[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.int32() if n == "archive" else pa.int64()) for n in ("archive", "start", "length")], names=["archive", "start", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.string() if n == "archive" else pa.int64()) for n in ("archive", "start", "length")], names=["archive", "start", "length"])
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields of a WARC record (names in lower case), and its block."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+def header_fields(head: bytes) -> dict[str, str]:
+    """The fields of a WARC header, names in lower case."""
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    fields = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
+    return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields of a WARC record, and its block."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    fields = header_fields(head)
     size = int(fields["content-length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record that doesn't end where its length says")
@@ -199,9 +223,11 @@ def read_captures(spark: SparkSession, folder: str) -> DataFrame:
     Both levels are followed: directory to index blocks, index lines to record ranges.  A response's
     payload is held against its digest.
     """
-    blocks = _with_ranges(_files(spark, f"{folder}/index", "part"), spark.read.parquet(f"{folder}/directory"), "part")
-    entries = blocks.mapInArrow(_entry_map, "archive int, start long, length long")
-    return _with_ranges(_files(spark, f"{folder}/archives", "archive"), entries, "archive").mapInArrow(_record_map, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    bounded_batches(spark)
+    directory = spark.read.parquet(f"{folder}/directory").withColumn("within", F.concat(F.lit("part="), F.col("part")))
+    blocks = _with_ranges(_files(spark, f"{folder}/index"), directory, "within")
+    entries = blocks.mapInArrow(_entry_map, "archive string, start long, length long").withColumnRenamed("archive", "name")
+    return _with_ranges(_files(spark, f"{folder}/archives"), entries, "name").mapInArrow(_record_map, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> str:
@@ -210,8 +236,11 @@ def archive_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     Null urls and bodies count as empty.  An empty table gives an index without blocks.  Other
     columns are not read.
     """
-    folder = new_folder(pages.sparkSession, "warc")
-    write_index(materialize(write_archives(records(pages, least, id_col, url_col, body_col), folder), "captures"), folder)
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    folder = new_folder(spark, "warc")
+    write_archives(*records(pages, least, id_col, url_col, body_col), folder)
+    write_index(materialize(scan_archives(spark, folder), "captures"), folder)
     return folder
 
 
@@ -228,7 +257,8 @@ class CaptureIndex:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         if below not in self._paths:
             d = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}")
-            files = [f.getPath() for f in d.getFileSystem(conf).listStatus(d) if f.getPath().getName().startswith("part-")]
+            whole = d.getFileSystem(conf).getFileStatus(d)
+            files = [whole.getPath()] if whole.isFile() else [f.getPath() for f in d.getFileSystem(conf).listStatus(d) if f.getPath().getName().startswith("part-")]
             self._paths[below] = files[0]
         path = self._paths[below]
         stream = path.getFileSystem(conf).open(path)
@@ -256,4 +286,4 @@ class CaptureIndex:
     def fetch(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """The records of a URL: header fields and block."""
         key = self.spark.range(1).select(url_key(F.lit(url)).alias("k")).first()["k"]
-        return [parse_record(self._range(f"archives/archive={x['archive']}", x["start"], x["length"])) for x in self.lines(key)]
+        return [parse_record(self._range(f"archives/{x['archive']}", x["start"], x["length"])) for x in self.lines(key)]
