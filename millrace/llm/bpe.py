@@ -12,9 +12,9 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import bounded_batches, return_freed_memory
 
 # Code points that the `regex` package takes for letters or numbers (a later Unicode
 # version) while the tiktoken library's tables leave them unassigned.
@@ -35,8 +35,8 @@ LATER_LETTERS = (
     "\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4"
     "\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
 )
-BLOCK_CHARS = 4 << 20  # characters of a block; a longer text is a block of its own
-CACHE_WORDS = 300_000  # words of a generation that a task keeps between blocks; two generations are kept
+BLOCK_CHARS = 2 << 20  # characters of a block; a longer text is a block of its own
+CACHE_WORDS = 200_000  # words of a generation that a task keeps between blocks; two generations are kept
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,7 +96,7 @@ class MergeReplay:
         prv.append(len(part) - 2)
         get, compute, ends = self.merged.get, self._rank, stops.tolist()
         while left:
-            r = heapq.heappop(left)
+            r = heappop(left)
             places = index.pop(r, None)
             if places is None:
                 continue
@@ -122,26 +122,41 @@ class MergeReplay:
                 part[j] = -2
                 m = nxt[i] = nxt[j]
                 prv[m] = i
-                for x, key in ((i, r << 20 | part[m] if part[m] >= 0 else -1), (prv[i], part[prv[i]] << 20 | r)):
-                    if key < 0:
-                        continue
+                b = part[m]
+                if b >= 0:  # the pair with the right neighbour
+                    key = r << 20 | b
                     s = get(key)
                     if s is None:
                         s = compute(key)
-                    if s < 0:
-                        continue
-                    if s in index:
-                        index[s].append(x)
-                    else:
-                        index[s] = [x]
-                        heapq.heappush(left, s)
-                    if s <= r:
-                        held = held or set()
-                        held.add(bisect_left(ends, i))
+                    if s >= 0:
+                        if s in index:
+                            index[s].append(i)
+                        else:
+                            index[s] = [i]
+                            heappush(left, s)
+                        if s <= r:
+                            held = held or set()
+                            held.add(bisect_left(ends, i))
+                h = prv[i]
+                b = part[h]
+                if b >= 0:  # and with the left one
+                    key = b << 20 | r
+                    s = get(key)
+                    if s is None:
+                        s = compute(key)
+                    if s >= 0:
+                        if s in index:
+                            index[s].append(h)
+                        else:
+                            index[s] = [h]
+                            heappush(left, s)
+                        if s <= r:
+                            held = held or set()
+                            held.add(bisect_left(ends, i))
             if again:
                 if r not in index:
                     index[r] = []
-                    heapq.heappush(left, r)
+                    heappush(left, r)
                 index[r] += again
         out, at = [], 0
         for e in ends:
@@ -203,6 +218,7 @@ _TOKENIZERS: dict[tuple[str, str], Tokenizer] = {}
 
 
 def _tokenizer(path: str, pattern: str) -> Tokenizer:
+    return_freed_memory()
     if (path, pattern) not in _TOKENIZERS:
         _TOKENIZERS[path, pattern] = Tokenizer(path, pattern)
     return _TOKENIZERS[path, pattern]

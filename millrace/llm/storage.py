@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOT: list[str] = []
+_TIDY: list[bool] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,6 +49,23 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def return_freed_memory() -> None:
+    """Let this worker give large freed buffers back to the system at once (once in each process).
+
+    A worker is used again by later stages; without this it keeps the most it ever held.
+    """
+    if _TIDY:
+        return
+    _TIDY.append(True)
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, which is then fixed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`new_folder` through the file system that holds it."""
     jvm = spark._jvm

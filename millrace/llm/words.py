@@ -1,7 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.  All of it works
-on the UTF-8 bytes, so no Python string is made.  Work is done in blocks of about one MiB of text:
+on the UTF-8 bytes, so no Python string is made.  Work is done in blocks of about half a MiB of text:
 the memory of a task doesn't depend on the length of a batch, and a very long document is cut at
 word ends.
 """
@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+from .storage import return_freed_memory
+
+BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -93,8 +95,8 @@ class Words:
         parts, at = [], lo
         while at < hi or not parts:
             to = hi
-            if hi - at > 4 * BLOCK:  # one very long document: cut after a word
-                to = at + 4 * BLOCK
+            if hi - at > 8 * BLOCK:  # one very long document: cut after a word
+                to = at + 8 * BLOCK
                 while to < hi and not SPACE[data[to]]:
                     to += 1
             part = data[at:to]
@@ -108,6 +110,7 @@ class Words:
 
 def each_block(column: pa.Array) -> Iterator[tuple[int, Words, np.ndarray]]:
     """(first document, its words, the buffer) for each block of a string column."""
+    return_freed_memory()
     data, offs = text_buffer(column)
     for i, j in blocks(offs):
         yield i, Words(data, offs, i, j), data
