@@ -15,7 +15,6 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ LATER_LETTERS = (
     "\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
 )
 BLOCK_CHARS = 2 << 20  # characters of a block; a longer text is a block of its own
-CACHE_WORDS = 200_000  # words of a generation that a task keeps between blocks; two generations are kept
+CACHE_WORDS = 300_000  # words of a generation that a task keeps between blocks; two generations are kept
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -176,26 +175,37 @@ class Tokenizer:
         older = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_LETTERS}]]"
         self.split_older = regex.compile("(?V1)" + pattern.replace(r"\p{L}", older[0]).replace(r"\p{N}", older[1])).findall
         self.is_later = regex.compile(f"[{LATER_LETTERS}]").search
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, str] = {}  # word: its ids, joined by commas
+        self.older: dict[str, str] = {}
+        self.by_name = {str(r): t for r, t in self.replay.tokens.items()}
 
-    def encode_block(self, texts: list[str]) -> list[list[int]]:
+    def _told(self, words: list[str]) -> list[str]:
+        return [",".join(map(str, ids)) for ids in self.replay.encode([w.encode("utf-8") for w in words])]
+
+    def encode_joined(self, texts: list[str]) -> list[str]:
+        """The ids of each text of a block, in decimal, joined by commas."""
         split = [self.split(t) for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
         if any(map(self.is_later, new)):  # such words are never kept, so they are new each time
             split = [self.split_older(t) for t in texts]
             new = list(set().union(*split))
-            ids = dict(zip(new, self.replay.encode([w.encode("utf-8") for w in new]), strict=True))
-            return [list(chain.from_iterable(map(ids.__getitem__, s))) for s in split]
+            told = dict(zip(new, self._told(new), strict=True))
+            return [",".join(map(told.__getitem__, s)) for s in split]
         if len(known) > CACHE_WORDS:
             self.older, self.known = known, {}
             known, new = self.known, list(set().union(*split))
         if self.older:
             known.update((w, self.older[w]) for w in new if w in self.older)
             new = [w for w in new if w not in known]
-        known.update(zip(new, self.replay.encode([w.encode("utf-8") for w in new]), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
+        known.update(zip(new, self._told(new), strict=True))
+        return [",".join(map(known.__getitem__, s)) for s in split]
+
+    def encode_block(self, texts: list[str]) -> list[list[int]]:
+        return [list(map(int, s.split(","))) if s else [] for s in self.encode_joined(texts)]
+
+    def decode_joined(self, ids: str) -> bytes:
+        return b"".join(map(self.by_name.__getitem__, ids.split(","))) if ids else b""
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids))
@@ -264,10 +274,10 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             n, a, b = [], [], []
             for block in blocks_of([t or "" for t in batch.column(1).to_pylist()]):
-                for ids in tok.encode_block(block):
-                    n.append(len(ids))
-                    a.append(sha(",".join(map(str, ids)).encode()).hexdigest())
-                    b.append(sha(tok.decode(ids)).hexdigest())
+                for ids in tok.encode_joined(block):
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    a.append(sha(ids.encode()).hexdigest())
+                    b.append(sha(tok.decode_joined(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
