@@ -1,11 +1,128 @@
-"""Queries written with the engine's own operators."""
+"""Queries written with the engine's own operators, sources and front end."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..catalogs.base import FileCatalog
+from ..operators import merge
+from ..sources import hive
+from ..sql.engine import Engine
+
+SEQUENCE = ["ts", "event_id"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = Engine(spark, {"files": FileCatalog({"sf": sf_dir})})
+    engine.sql("use files.sf")
+    return engine
+
+
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/millrace-scan-{uuid.uuid4().hex}"
+
+
+def merge_deduplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.deduplicate(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], SEQUENCE).drop("ts")
+
+
+def merge_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.first_row(_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], SEQUENCE).drop("ts")
+
+
+def merge_partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr("user_id", "ts", "event_id", "case when event_type = 'purchase' then value end as paid", "case when event_type = 'view' then event_id end as viewed")
+    return merge.partial_update(rows, ["user_id"], SEQUENCE).drop("ts")
+
+
+def merge_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"sum": "s", "min": "lo", "max": "hi", "last_value": "l", "first_value": "f", "last_non_null_value": "ln", "first_non_null_value": "fn", "bool_and": "ba", "bool_or": "bo", "listagg": "la"}
+    x = F.expr("case when event_type <> 'click' then event_id end")
+    flag = F.expr("value > 50")
+    rows = _events(spark, sf_dir).select("user_id", "ts", "event_id", *[(flag if f.startswith("bool") else x.cast("string") if f == "listagg" else x).alias(n) for f, n in names.items()])
+    return merge.aggregation(rows, ["user_id"], SEQUENCE, {n: f for f, n in names.items()}).drop("ts")
+
+
+def engine_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("with nation as (select n_nationkey, n_regionkey from files.sf.nation) select r_name, count(*) as n from nation join sf.region on n_regionkey = r_regionkey where exists (select 1 from customer where c_nationkey = n_nationkey) group by r_name")
+
+
+def engine_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("select p_brand, p_partkey from part qualify row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) <= 2")
+
+
+def engine_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("select n_nationkey, strpos(n_name, '_') as p, encode(cast(n_name as binary), 'hex') as h, map {'k': n_name}['k'] as m, array_to_string(make_array('a', n_name), '-') as j from nation")
+
+
+def show_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("show catalogs")
+
+
+def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("show tables like '%ion'")
+
+
+def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _engine(spark, sf_dir).sql("describe region").select("column_name", "sql_type", "is_nullable")
+
+
+def _round_trip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = _folder(spark)
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_orderpriority", "cast(o_totalprice as decimal(12,2)) as price", "o_orderstatus")
+        if kind == "textfile":
+            rows.write.option("sep", "\u0001").option("nullValue", hive.NULL_TEXT).partitionBy("o_orderstatus").csv(at)
+        else:
+            rows.write.format(kind).partitionBy("o_orderstatus").save(at)
+        table = hive.Table(at, [("o_orderkey", "bigint"), ("o_orderpriority", "string"), ("price", "decimal(12,2)"), ("missing", "int")], kind, [("o_orderstatus", "string")])
+        return hive.scan(spark, table, "o_orderstatus in ('O', 'P')").select("o_orderkey", "o_orderpriority", F.col("price").cast("double").alias("price"), "missing", "o_orderstatus")
+
+    return query
+
+
+def meta_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus").repartition(1).write.partitionBy("o_orderstatus").parquet(at)
+    return hive.partitions(spark, hive.Table(at, [("o_orderkey", "bigint")], "parquet", [("o_orderstatus", "string")])).select("partition", "data_file_count")
+
+
+_LAST = "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts {0}, event_id {0}) as rn from events) where rn = 1"
+_SCAN = "select o_orderkey, o_orderpriority, cast(cast(o_totalprice as decimal(12, 2)) as double) as price, cast(null as int) as missing, o_orderstatus from orders where o_orderstatus in ('O', 'P')"
+_NUMBERED = "(select *, row_number() over (order by ts, event_id) as o, case when event_type <> 'click' then event_id end as x from events)"
+
+ORACLE = {
+    "merge_deduplicate": _LAST.format("desc"),
+    "merge_first_row": _LAST.format("asc"),
+    "merge_partial_update": f"select user_id, arg_max(event_id, o) as event_id, arg_max(value, o) filter (where event_type = 'purchase') as paid, arg_max(event_id, o) filter (where event_type = 'view') as viewed from {_NUMBERED} group by user_id",
+    "merge_aggregation": f"select user_id, arg_max(event_id, o) as event_id, cast(sum(x) as bigint) as s, min(x) as lo, max(x) as hi, arg_max_null(x, o) as l, arg_min_null(x, o) as f, arg_max(x, o) filter (where x is not null) as ln, arg_min(x, o) filter (where x is not null) as fn, bool_and(value > 50) as ba, bool_or(value > 50) as bo, coalesce(string_agg(cast(x as varchar), ',' order by o) filter (where x is not null), '') as la from {_NUMBERED} group by user_id",
+    "engine_names": "select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey where exists (select 1 from customer where c_nationkey = n_nationkey) group by r_name",
+    "engine_qualify": "select p_brand, p_partkey from part qualify row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) <= 2",
+    "engine_functions": "select n_nationkey, cast(strpos(n_name, '_') as int) as p, lower(hex(n_name)) as h, n_name as m, 'a-' || n_name as j from nation",
+    "show_catalogs": "select * from (values ('files', 'FILES'), ('internal', 'INTERNAL')) t(catalog_name, catalog_type)",
+    "show_tables": "select * from (values ('nation'), ('region')) t(table_name)",
+    "describe_table": "select * from (values ('r_regionkey', 'INT', 'YES'), ('r_name', 'STRING', 'YES')) t(column_name, sql_type, is_nullable)",
+    "scan_text": _SCAN,
+    "scan_parquet": _SCAN,
+    "scan_orc": _SCAN,
+    "meta_partitions": "select 'o_orderstatus=' || o_orderstatus as partition, cast(1 as bigint) as data_file_count from orders group by o_orderstatus",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = [merge_deduplicate, merge_first_row, merge_partial_update, merge_aggregation, engine_names, engine_qualify, engine_functions, show_catalogs, show_tables, describe_table, meta_partitions]
+    return {f.__name__: f for f in own} | {"scan_text": _round_trip("textfile"), "scan_parquet": _round_trip("parquet"), "scan_orc": _round_trip("orc")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
