@@ -243,7 +243,7 @@ class Engine:
         catalog.call(self.spark, m[2].lower(), schema, table, {k: literal(v) if v[0] == "'" else v for k, v in args.items()})
         return self._frame([("OK",)], "result string")
 
-    #: Options of the reference dialect that stand for a Spark setting.
+    #: Option names of the dialect that stand for a Spark setting.
     OPTIONS = {"datafusion.execution.target_partitions": "spark.sql.shuffle.partitions", "datafusion.execution.time_zone": "spark.sql.session.timeZone"}
 
     def _set(self, sql: str) -> DataFrame:
