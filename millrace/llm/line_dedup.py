@@ -1,12 +1,10 @@
-"""Repeated-line removal by winnowing over line hashes.
-
-A line is a newline-delimited line, folded after words whose hash is divisible by FOLD, and after
-LONGEST words without such: a passage in the middle of a longer line then falls into the same pieces
-wherever it stands.  The fingerprints of
-a document are the minima of each window of WINDOW hashes of GRAM consecutive lines, so two
-documents that share a run of WINDOW + GRAM - 1 lines share a fingerprint.  Each fingerprint is
-joined to its first position in the corpus, the match is extended both ways line by line, and the
-later run is deleted.
+"""Removal of repeated passages by winnowing over word hashes.
+
+The fingerprints of a document are the minima of each window of WINDOW hashes of GRAM consecutive
+words, so two documents that share WINDOW + GRAM - 1 words in a row share a fingerprint, wherever the
+passage stands in their lines.  Each fingerprint is joined to its first position in the corpus; the
+words it covers stand there too, whatever surrounds them.  Matches on one diagonal are joined, both
+ends are extended word by word, and the later run is deleted.
 """
 
 from __future__ import annotations
@@ -16,150 +14,158 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialize
-from .words import Words, each_block, grams, list_column
+from .words import Words, each_block, list_column, long_grams, mix
 
-FOLD = 5
-LONGEST = 16
-GRAM = 3
-WINDOW = 5
+GRAM = 20  # words; not less than WINDOW, so that the fingerprints of a shared passage leave no gap
+WINDOW = 20  # grams
 BROADCAST_ROWS = 200_000  # documents with runs; beyond it the join shuffles
 
 
-def _lines(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each line, and the bounds of each document's lines."""
-    n = len(words.hash)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(words.n_docs + 1, np.int64)
-    begins = np.zeros(n, bool)
-    begins[words.first[:-1][words.first[:-1] < n]] = True
-    begins[1:] |= words.hash[:-1] % np.uint64(FOLD) == 0
-    breaks = np.flatnonzero(data[int(words.begin[0]) : int(words.end[-1])] == 10) + int(words.begin[0])
-    after = np.searchsorted(words.begin, breaks)
-    begins[after[after < n]] = True
-    at = np.flatnonzero(begins)
-    more = (np.diff(np.append(at, n)) - 1) // LONGEST
-    if more.any():
-        part = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-        at = np.repeat(at, more + 1) + part * LONGEST
-    return at, np.searchsorted(at, words.first)
-
-
-def _line_hashes(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line."""
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(words.hash)))
-    place = np.arange(len(words.hash)) - np.repeat(at, size)
-    weight = (np.uint64(0x9E3779B97F4A7C15) * (2 * place.astype(np.uint64) + np.uint64(1))) ^ np.uint64(0x5851F42D4C957F2D)
-    return np.add.reduceat(words.hash * (weight | np.uint64(1)), at), size
-
-
-def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the rightmost minimum of each window of WINDOW grams; one window at least."""
-    g = grams(h, min(GRAM, len(h))) if len(h) else h
+def _sliding(g: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of each ``size`` consecutive elements, by doubling."""
+    width = 1
+    while 2 * width <= size:
+        g = best(g[:-width], g[width:])
+        width *= 2
+    return best(g[: len(g) - (size - width)], g[size - width :]) if width < size else g
+
+
+def winnow(g: np.ndarray) -> np.ndarray:
+    """Positions of the minima (all equal ones) of each window of WINDOW grams; one window at least."""
     if len(g) <= WINDOW:
-        at = np.array([len(g) - 1 - int(np.argmin(g[::-1]))]) if len(g) else np.zeros(0, np.int64)
-        return at, g[at]
-    view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)[:, ::-1]
-    at = np.unique(np.arange(len(view)) + WINDOW - 1 - np.argmin(view, axis=1))
-    return at, g[at]
+        return np.flatnonzero(g == g.min()) if len(g) else np.zeros(0, np.int64)
+    least = np.zeros(len(g) + WINDOW - 1, np.uint64)
+    least[WINDOW - 1 : len(g)] = _sliding(g, WINDOW, np.minimum)
+    return np.flatnonzero(g == _sliding(least, WINDOW, np.maximum))
+
+
+def _prints(words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """First words and hashes of each document's fingerprints; one with fewer than GRAM words has one, of the whole."""
+    g, at, prints = long_grams(words.hash, GRAM), [], []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if 0 < b - a < GRAM:
+            at.append(np.zeros(1, np.int64))
+            prints.append(mix(long_grams(words.hash[a:b], b - a) + np.uint64(b - a)))
+            continue
+        own = g[a : max(a, b - GRAM + 1)]
+        at.append(winnow(own))
+        prints.append(own[at[-1]])
+    return at, prints
 
 
 def _feature_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, lines, sizes, at, prints): short hashes and word counts of lines, fingerprints and their lines."""
+    """(key, doc_id, words, at, prints): short hashes of words, fingerprints and their first words."""
     for batch in batches:
-        for i, words, data in each_block(batch.column(2)):
-            at, bounds = _lines(words, data)
-            h, size = _line_hashes(words, at)
-            short, size = (h >> np.uint64(32)).astype(np.uint32).view(np.int32), size.astype(np.int32)
-            cut = list(zip(bounds[:-1], bounds[1:], strict=True))
-            prints = [winnow(h[a:b]) for a, b in cut]
-            lists = [list_column([short[a:b] for a, b in cut], pa.int32()), list_column([size[a:b] for a, b in cut], pa.int32()), list_column([x.astype(np.int32) for x, _ in prints], pa.int32()), list_column([y for _, y in prints], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), *lists], names=["key", "doc_id", "lines", "sizes", "at", "prints"])
-
-
-def _extend(own: np.ndarray, other: np.ndarray, pos: list[int], shift: int) -> list[tuple[int, int]]:
-    """Maximal runs of equal lines on one diagonal (own[x] with other[x - shift]) through the positions."""
-    lo, hi = max(0, shift), min(len(own), len(other) + shift)
-    same = own[lo:hi] == other[lo - shift : hi - shift]
-    wrong = np.flatnonzero(~same) + lo
-    out = set()
-    for p in pos:
-        k = int(np.searchsorted(wrong, p))
-        if k < len(wrong) and wrong[k] == p:
-            continue
-        out.add((int(wrong[k - 1]) + 1 if k else lo, int(wrong[k]) if k < len(wrong) else hi))
-    return sorted(out)
+        for i, words, _ in each_block(batch.column(2)):
+            short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            at, prints = _prints(words)
+            lists = [pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(short)), list_column([x.astype(np.int32) for x in at], pa.int32()), list_column(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), *lists], names=["key", "doc_id", "words", "at", "prints"])
+
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and values of a list column."""
+    offs = column.offsets.to_numpy()
+    return offs - offs[0], column.flatten().to_numpy(zero_copy_only=False)
 
-def _rows(column: pa.Array) -> list[np.ndarray]:
-    offs, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)]
 
+def _chain_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, key0, places) to stretches of words that matches on one diagonal cover without a gap.
 
-def _extend_map(least_lines: int, least_words: int):
-    """(key, places, own, sizes, other) to runs; a place is a shared fingerprint's line here << 32 | there."""
+    A place is a shared fingerprint's word here << 32 | there; shift is the difference of the two.
+    """
+    for batch in batches:
+        offs, place = _flat(batch.column(2))
+        row, pos = np.repeat(np.arange(batch.num_rows), np.diff(offs)), place >> 32
+        shift = pos - (place & 0xFFFFFFFF)
+        order = np.lexsort((pos, shift, row))
+        row, pos, shift = row[order], pos[order], shift[order]
+        begins = np.ones(len(row), bool)
+        begins[1:] = (np.diff(row) != 0) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
+        a = np.flatnonzero(begins)
+        z = np.append(a[1:], len(row))[: len(a)] - 1
+        take = pa.array(row[a])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (pos[a], pos[z] + GRAM, shift[a]))], names=["key", "key0", "begin", "end", "shift"])
+
+
+def _extend_map(least_words: int):
+    """(key, chains of (begin, end, left, right), words) to merged runs; left and right are the words beside the first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, found = zip(*map(_rows, batch.columns[1:]), strict=True), batch.column(0).to_pylist(), []
-            for key, (places, own, size, other) in zip(keys, rows, strict=True):
-                pos = places >> 32
-                shift = pos - (places & 0xFFFFFFFF)
-                upto = np.concatenate([[0], np.cumsum(size)])
-                for s in np.unique(shift).tolist():
-                    for a, b in _extend(own, other, pos[shift == s].tolist(), s):
-                        if (b - a >= least_lines and upto[b] - upto[a] >= least_words) or (b - a == len(own) == len(other) and b - a):
-                            found.append((key, a << 32 | b))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["key", "span"])
+            chains, (own_at, own) = batch.column(1), _flat(batch.column(2))
+            count = np.diff(chains.offsets.to_numpy())
+            row, parts = np.repeat(np.arange(batch.num_rows), count), chains.flatten()
+            lo, hi = own_at[row], own_at[row + 1]
+            begin = lo + parts.field("begin").to_numpy()
+            end = np.minimum(hi, lo + parts.field("end").to_numpy())
+            (left_at, left), (right_at, right) = _flat(parts.field("left")), _flat(parts.field("right"))
+            on = np.arange(len(row))
+            for j in range(1, WINDOW + 1):
+                on = on[(begin[on] > lo[on]) & (left_at[on + 1] - j >= left_at[on])]
+                on = on[own[begin[on] - 1] == left[left_at[on + 1] - j]]
+                begin[on] -= 1
+            on = np.arange(len(row))
+            for j in range(WINDOW):
+                on = on[(end[on] < hi[on]) & (right_at[on] + j < right_at[on + 1])]
+                on = on[own[end[on]] == right[right_at[on] + j]]
+                end[on] += 1
+            order = np.lexsort((begin, row))
+            row, begin, end = row[order], begin[order] + row[order], end[order] + row[order]  # documents don't touch
+            upto = np.maximum.accumulate(end) if len(end) else end
+            a = np.flatnonzero(np.append(True, begin[1:] > upto[:-1])) if len(end) else np.zeros(0, np.int64)
+            z = np.append(a[1:], len(row))[: len(a)] - 1
+            row, begin, end = row[a], begin[a] - row[a] - own_at[row[a]], upto[z] - row[a] - own_at[row[a]]
+            keep = (end - begin >= least_words) | (end - begin == np.diff(own_at)[row])
+            row, span = row[keep], (begin.astype(np.int64) << 32 | end.astype(np.int64))[keep]
+            docs, first = np.unique(row, return_index=True)
+            spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(span))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), spans], names=["key", "spans"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, least_lines: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, span): runs of lines (begin << 32 | end) that stand earlier in the corpus, by order of doc_id (null first) and position.
+def repeated_runs(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, spans): runs of words (begin << 32 | end) that stand earlier in the corpus, by order of doc_id (null first) and position.
 
     ``key`` is xxhash64(doc_id, text); rows that repeat both are one document.  A run counts from
-    ``least_lines`` lines and ``least_words`` words on, or as a whole document that repeats a whole
-    one.  Every run of WINDOW + GRAM - 1 lines has a fingerprint; it is compared with the first
-    place of that fingerprint.
+    ``least_words`` words on, or as a whole document.  Every run of WINDOW + GRAM - 1 words has a
+    fingerprint and is found; of those from GRAM words on, some are.  A document with fewer than GRAM
+    words is compared as a whole.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, lines array<int>, sizes array<int>, at array<int>, prints array<long>"), "lines")
+    feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, words array<int>, at array<int>, prints array<long>"), "words")
     prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
     # the first place of each fingerprint; a partial aggregate reduces frequent ones before the shuffle
     first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", F.col("f.key").alias("key0"), F.col("f.pos").alias("pos0"))
     place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos0")
     matches = prints.join(first, "print").where("key <> key0 or pos <> pos0").groupBy("key", "key0").agg(F.collect_set(place).alias("places"))
-    matches = materialize(matches, "matches")
+    chains = materialize(matches.mapInArrow(_chain_map, "key long, key0 long, begin int, end int, shift int"), "matches")
     # a document that repeats in full has equal keys only if its doc_id repeats, then it is one document
-    def lines_of(name: str, *more: str) -> DataFrame:
-        own = feats.select(F.col("key").alias(name), "lines", *more)
-        return own.join(matches.select(name).distinct(), name, "left_semi").dropDuplicates([name])
+    def words_of(name: str, column: str) -> DataFrame:
+        own = feats.select(F.col("key").alias(name), F.col("words").alias(column))
+        return own.join(chains.select(name).distinct(), name, "left_semi").dropDuplicates([name])
 
-    other = lines_of("key0").withColumnRenamed("lines", "other")
-    own = lines_of("key", "sizes").withColumnRenamed("lines", "own")
-    pairs = matches.join(other, "key0").join(own, "key").select("key", "places", "own", "sizes", "other")
-    return pairs.mapInArrow(_extend_map(least_lines, least_words), "key long, span long")
+    # beyond WINDOW words beside a chain the next fingerprint decides, wherever its first place is
+    at, to, beside = F.col("begin") - F.col("shift"), F.col("end") - F.col("shift"), F.lit(WINDOW)
+    left = F.slice("other", F.greatest(at - beside, F.lit(0)) + 1, F.least(at, beside))
+    ends = chains.join(words_of("key0", "other"), "key0").select("key", "begin", "end", left.alias("left"), F.slice("other", to + 1, beside).alias("right"))
+    ends = ends.groupBy("key").agg(F.collect_list(F.struct("begin", "end", "left", "right")).alias("chains"))
+    return ends.join(words_of("key", "own"), "key").select("key", "chains", "own").mapInArrow(_extend_map(least_words), "key long, spans array<long>")
 
 
-def _cut(data: np.ndarray, words: Words, at: np.ndarray, a: int, b: int, lo: int, hi: int, runs: list[list[int]]) -> tuple[bytes, int]:
-    """The bytes lo to hi without the runs of lines (counted from the document's first, a), and the words deleted."""
-    gone = np.zeros(b - a, bool)
-    for x, y in runs:
-        gone[x:y] = True
+def _cut(data: np.ndarray, words: Words, a: int, b: int, lo: int, hi: int, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The bytes lo to hi without the runs of words (counted from the document's first, a), and the words deleted."""
     out, pos, deleted = [], lo, 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    for x, y in zip(edge[::2], edge[1::2], strict=True):
-        w, v = int(at[a + x]), int(at[a + y]) if a + y < b else (int(at[a + y]) if a + y < len(at) else len(words.hash))
-        out.append(data[pos : int(words.begin[w])].tobytes())
-        deleted += v - w
-        pos = int(words.begin[v]) if a + y < b else hi
+    for x, y in runs:
+        out.append(data[pos : int(words.begin[a + x])].tobytes())
+        deleted += y - x
+        pos = int(words.begin[a + y]) if a + y < b else hi
     out.append(data[pos:hi].tobytes())
     return b"".join(out), deleted
 
@@ -171,12 +177,11 @@ def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
             which = np.flatnonzero(pc.is_valid(batch.column(at_runs)).to_numpy(zero_copy_only=False))
             runs, own = batch.column(at_runs).take(pa.array(which)).to_pylist(), text.take(pa.array(which))
             for i, words, data in each_block(own):
-                at, bounds = _lines(words, data)
                 for d in range(words.n_docs):
                     raw = own[i + d].as_py().encode("utf-8")
                     lo = int(words.begin[words.first[d]]) - (len(raw) - len(raw.lstrip(b" \t\n\v\f\r")))
                     k = int(which[i + d])
-                    left, deleted[k] = _cut(data, words, at, int(bounds[d]), int(bounds[d + 1]), lo, lo + len(raw), [(r >> 32, r & 0xFFFFFFFF) for r in runs[i + d]])
+                    left, deleted[k] = _cut(data, words, int(words.first[d]), int(words.first[d + 1]), lo, lo + len(raw), [(r >> 32, r & 0xFFFFFFFF) for r in runs[i + d]])
                     changed[k] = left.decode("utf-8")
             mask = np.zeros(batch.num_rows, bool)
             mask[list(changed)] = True
@@ -187,28 +192,15 @@ def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
     return run
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans (begin << 32 | end) with those that overlap or touch made one."""
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        end = last.bitwiseAND(0xFFFFFFFF)
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last - end + F.greatest(end, x.bitwiseAND(0xFFFFFFFF))))
-        return F.when((F.size(acc) > 0) & (F.shiftright(x, 32) <= end), longer).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, F.array().cast("array<long>"), add)
-
-
-def delete_repeated_lines(docs: DataFrame, least_lines: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs of lines cut out of the text; every row and every other column stays.
+def delete_repeated_lines(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """``docs`` with later repeated runs of words cut out of the text; every row and every other column stays.
 
-    A text all of whose lines go becomes empty; a null text stays null.  With ``counts`` a column
+    A text all of whose words go becomes empty; a null text stays null.  With ``counts`` a column
     deleted_words follows (any column of that name is replaced).
     """
     bounded_batches(docs.sparkSession)
-    runs = repeated_runs(docs, least_lines, least_words, id_col, text_col)
-    spans = F.array_sort(F.collect_set("span"))
-    runs = materialize(runs.groupBy("key").agg(_merged(spans).alias("__runs")).withColumnRenamed("key", "__key"), "runs")
+    runs = repeated_runs(docs, least_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("spans").alias("__runs"))
+    runs = materialize(runs, "runs")
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
     names = [n for n in docs.columns if not (counts and n == "deleted_words")]

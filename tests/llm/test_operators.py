@@ -233,6 +233,27 @@ def test_line_dedup(docs, texts):
     assert sum(" ".join(passage) in " ".join(words_of(kept[k][0])) for k in range(80, 86)) == 1
 
 
+def test_line_dedup_passages(spark):
+    """Each later copy of a passage of 51 to 60 words goes, in full and alone, also where newlines differ."""
+    from millrace.llm.line_dedup import delete_repeated_lines
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(500)]
+    rows, want = [], {}
+    for n in range(51, 61):
+        for k in range(40):
+            passage = [rng.choice(vocabulary) for _ in range(n)]
+            for again in (0, 1):
+                i = len(rows)
+                before, after = ([rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))] for _ in (0, 1))
+                before, after = [*before, f"b{i}"], [f"a{i}", *after]  # words of one document only
+                inner = "\n".join([" ".join(passage[:30]), " ".join(passage[30:])]) if again and k % 2 else " ".join(passage)
+                rows.append((i, " ".join([*before, inner, *after])))
+                want[i] = before + ([] if again else passage) + after
+    got = {r[0]: r[1].split() for r in delete_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
 def test_scores(spark):
     from millrace.llm.quality import quality_scores
     from millrace.llm.toxicity import FuzzyTrie, toxicity_scores
