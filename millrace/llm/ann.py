@@ -2,13 +2,14 @@
 
 A bounded sample is clustered hierarchically with a size penalty, so lists are about equally long.
 Each vector goes to its nearest centroid and, near a boundary, to further ones.  The centroids stand
-in a navigable graph in memory, searched by beam.  A query takes the lists whose centroid's distance
-is within a ratio of the nearest one's; within a list distances are exact.
+in a navigable graph in memory, searched by beam to place the vectors.  A query takes all lists whose
+centroid's distance is within a ratio of the nearest one's; within a list distances are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ LIST = 256  # vectors that a posting list aims at
 CENTROIDS_MOST = 8192  # bound of what is sent to every task
 REPLICAS = 4  # lists of a boundary vector at most; the first is always its nearest
 BOUNDARY = 1.15  # a vector goes to lists within this ratio of its nearest centroid's distance
-PROBE = 1.6  # a query takes lists within this ratio
-PROBES = 48  # lists of a query at most
+PROBE = 1.6  # a query takes all lists within this ratio, whatever their number
+FIRST = 48  # the nearest of them are read first; of the others only what beats the k-th found there is passed on
 DEGREE = 24
 CHUNK = 8192  # vectors of a list that one task holds
 
@@ -149,8 +150,23 @@ def _assign_map(graph, dim: int, most: int, ratio: float, beam: int):
     return run
 
 
+def _probe_map(graph, dim: int, ratio: float):
+    """Add lists array<int>: all centroids within ``ratio`` of the nearest one's distance, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: CentroidGraph = graph.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                dist = np.sqrt(_squared(_matrix(part.column(1), dim), own.c))
+                take = dist <= ratio * dist.min(1)[:, None] + 1e-12
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([o[: t.sum()].tolist() for o, t in zip(np.argsort(dist, axis=1, kind="stable"), take, strict=True)], pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])
+
+    return run
+
+
 def _near(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """Exact distances of queries (query_id, embedding) to the members (ids, embedding) of a list; the k best of each query."""
+    """Exact distances of queries (query_id, embedding, bound) to the members (ids, embedding) of a list; the k best of each query within its bound."""
     out: list[list] = [[], [], []]
     if left.num_rows and right.num_rows:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -158,10 +174,11 @@ def _near(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         m = _matrix(emb, len(emb.values) // len(emb))
         members = right.column("ids").to_pylist()
         queries, vectors = left.column("query_id").to_pylist(), left.column("embedding").combine_chunks()
-        for q, v in zip(queries, _matrix(vectors, m.shape[1]), strict=True):
+        for q, v, bound in zip(queries, _matrix(vectors, m.shape[1]), left.column("bound").to_pylist(), strict=True):
             d = np.sqrt(((m - v) ** 2).sum(1))
             got = 0
-            best = np.argsort(d, kind="stable")
+            best = np.flatnonzero(d <= bound)
+            best = best[np.argsort(d[best], kind="stable")]
             rows: list[tuple[float, int]] = []
             for x in best.tolist():
                 if got >= k and d[x] > rows[k - 1][0]:
@@ -217,20 +234,24 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     members = materialize(distinct.select("ids", "embedding").mapInArrow(_assign_map(shared, dim, REPLICAS, BOUNDARY, 32), schema), "members").select("ids", "embedding", F.explode("lists").alias("list"))
     chunks = members.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # one row for each centroid
     members = members.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("embedding"), F.col("chunks")).cast("int")).select("list", "chunk", "ids", "embedding")
-    asked = queries.mapInArrow(_assign_map(shared, dim, PROBES, PROBE, 96), "query_id long, embedding array<float>, lists array<int>").select("query_id", "embedding", F.explode("lists").alias("list"))
-    asked = asked.join(F.broadcast(chunks), "list").select("list", "query_id", "embedding", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    asked = queries.mapInArrow(_probe_map(shared, dim, PROBE), "query_id long, embedding array<float>, lists array<int>").select("query_id", "embedding", F.posexplode("lists").alias("place", "list"))
+    asked = asked.join(F.broadcast(chunks), "list").select("list", "place", "query_id", "embedding", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
-    def search(wanted: DataFrame) -> DataFrame:
+    def search(wanted: DataFrame, *known: DataFrame) -> DataFrame:
         near = wanted.groupBy("list", "chunk").cogroup(members.groupBy("list", "chunk")).applyInArrow(lambda key, a, b: _near(key, a, b, k), "query_id long, vec_id long, score double")
-        best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        best = reduce(DataFrame.union, known, near).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = materialize(search(asked), "found")
+    found = materialize(search(asked.where(F.col("place") < FIRST)), "found")
+    if len(graph.c) > FIRST:
+        kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        rest = asked.where(F.col("place") >= FIRST).join(kth, "query_id", "left").withColumn("bound", F.coalesce("kth", "bound"))
+        found = materialize(search(rest, found.select("query_id", "vec_id", "score")), "found")
     short = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     missing = materialize(queries.join(short, "query_id", "left_anti"), "short")
     if missing.isEmpty() or n * (k + 1) <= 1:
         return found
     # every list of every chunk for these few; the lists are the partitions of the table
     lists = chunks.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    wide = missing.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(len(graph.c) - 1))).alias("list")).join(F.broadcast(lists), "list")
+    wide = missing.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(len(graph.c) - 1))).alias("list"), F.lit(float("inf")).alias("bound")).join(F.broadcast(lists), "list")
     return found.join(missing, "query_id", "left_anti").union(search(wide))

@@ -192,6 +192,22 @@ def test_nearest(spark):
     assert nearest(few.limit(0)).count() == 0
 
 
+def test_nearest_many_lists(spark, monkeypatch):
+    """Vectors without clusters in 250 lists: the neighbours are those of brute force."""
+    from millrace.llm import ann
+
+    monkeypatch.setattr(ann, "LIST", 32)
+    x = np.random.default_rng(6).normal(size=(8000, 32)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), every=400).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 8000, 400):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def edit_distance(a, b):
     """Least distance of a to a stretch of b."""
     row = [0] * (len(b) + 1)
