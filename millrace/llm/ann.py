@@ -195,32 +195,40 @@ def _near(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, embedding) of rows that take part: id given, vector neither null nor zero, all components finite; of the most frequent length."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    """(vec_id, embedding) of rows that take part: id given, vector neither null nor zero, all components finite.
+
+    Components keep their type if it is float; all others become double.
+    """
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(~bad & F.exists("embedding", lambda x: x != 0))
-    dims = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return rows.where(F.size("embedding") == (dims["dim"] if dims else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(~bad & F.exists("embedding", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, rows whose id is divisible by ``every``.
 
-    Candidates are all rows but those of the query's own id.  Scores are Euclidean distances in
+    Candidates are all rows of the query's length but those of its own id.  Scores are Euclidean distances in
     double precision on the vectors given; equal ones go by id.  Rows that can't take part (see
     :func:`usable`) are neither queries nor candidates.  Equal vectors are one member of a list that
     keeps their k+1 smallest ids, which is all that any result can need.  A query whose lists hold
     fewer than k candidates is compared with all vectors.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    merged = rows.mapInArrow(_lowest_map(k + 1), "embedding array<float>, ids array<long>")
+    dims = [r["dim"] for r in rows.select(F.size("embedding").alias("dim")).distinct().orderBy("dim").collect()]
+    if not dims:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.union, [_nearest_of(rows.where(F.size("embedding") == dim), k, every) for dim in dims])
+
+
+def _nearest_of(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """:func:`nearest` for vectors of one length."""
+    spark, kind = rows.sparkSession, rows.schema["embedding"].dataType.simpleString()
+    merged = rows.mapInArrow(_lowest_map(k + 1), f"embedding {kind}, ids array<long>")
     # tasks have reduced each vector to k+1 ids, so a group here has that times the tasks at most
     distinct = materialize(merged.groupBy("embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "vectors")
     n = distinct.count()
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id", "embedding"])
-    if not n:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     part = min(1.0, SAMPLE / n)
     sample = distinct.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("embedding").limit(2 * SAMPLE).toArrow()
     column = sample.column(0).combine_chunks()
@@ -230,11 +238,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     graph = CentroidGraph(balanced_centroids(_matrix(column, dim), int(min(CENTROIDS_MOST, max(1, n // LIST)))))
     shared = spark.sparkContext.broadcast(graph)
 
-    schema = "ids array<long>, embedding array<float>, lists array<int>"
+    schema = f"ids array<long>, embedding {kind}, lists array<int>"
     members = materialize(distinct.select("ids", "embedding").mapInArrow(_assign_map(shared, dim, REPLICAS, BOUNDARY, 32), schema), "members").select("ids", "embedding", F.explode("lists").alias("list"))
     chunks = members.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # one row for each centroid
     members = members.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("embedding"), F.col("chunks")).cast("int")).select("list", "chunk", "ids", "embedding")
-    asked = queries.mapInArrow(_probe_map(shared, dim, PROBE), "query_id long, embedding array<float>, lists array<int>").select("query_id", "embedding", F.posexplode("lists").alias("place", "list"))
+    asked = queries.mapInArrow(_probe_map(shared, dim, PROBE), f"query_id long, embedding {kind}, lists array<int>").select("query_id", "embedding", F.posexplode("lists").alias("place", "list"))
     asked = asked.join(F.broadcast(chunks), "list").select("list", "place", "query_id", "embedding", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def search(wanted: DataFrame, *known: DataFrame) -> DataFrame:

@@ -208,6 +208,16 @@ def test_nearest_many_lists(spark, monkeypatch):
         assert got[q] == np.argsort(d, kind="stable")[:10].tolist()
 
 
+def test_nearest_lengths(spark):
+    """Each length is searched on its own, and double components aren't rounded."""
+    from millrace.llm.ann import nearest
+
+    rows = [(100 * k, [1 + k * 1e-9, 1.0]) for k in range(4)] + [(100 * k, [float(k), 1.0, 2.0]) for k in range(4, 7)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 4 * 3 + 3 * 2
+    assert got[0, 1][0] == 100 and abs(got[0, 1][1] - 1e-9) < 1e-14 and got[400, 2] == (600, 2.0)
+
+
 def edit_distance(a, b):
     """Least distance of a to a stretch of b."""
     row = [0] * (len(b) + 1)
