@@ -280,6 +280,24 @@ def test_line_dedup_passages(spark):
     assert [i for i in want if got[i] != want[i]] == []
 
 
+def test_line_dedup_first_places(spark):
+    """A passage whose parts first stand in short quotes, or in a document that shares half of it, is still found in later ones."""
+    from millrace.llm.line_dedup import delete_repeated_lines
+
+    rng, rows = random.Random(9), []
+    for k in range(30):
+        p = [f"p{k}w{rng.randrange(10**6)}" for _ in range(120)]
+        quotes = [" ".join([f"q{k}x{j}", *p[j : j + 17], f"q{k}y{j}"]) for j in range(0, 120, 4)]
+        half = " ".join([f"h{k}", *p[:60], f"h{k}z"])
+        rows += [*quotes, half, " ".join([f"a{k}", *p, f"a{k}z"]), " ".join([f"b{k}", *p, f"b{k}z"])]
+    out = delete_repeated_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    step = len(rows) // 30
+    for k in range(30):
+        own = [r[1].split() for r in out[k * step : (k + 1) * step]]
+        assert [" ".join(w) for w in own[:-2]] == rows[k * step : (k + 1) * step - 2]
+        assert len(own[-2]) == 62 and own[-1] == [f"b{k}", f"b{k}z"]
+
+
 def test_scores(spark):
     from millrace.llm.quality import quality_scores
     from millrace.llm.toxicity import FuzzyTrie, toxicity_scores
