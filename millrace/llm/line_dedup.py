@@ -23,6 +23,8 @@ from .words import Words, each_block, list_column, long_grams, mix
 GRAM = 20  # words; not less than WINDOW, so that the fingerprints of a shared passage leave no gap
 WINDOW = 20  # grams
 BROADCAST_ROWS = 200_000  # documents with runs; beyond it the join shuffles
+HOT_LEAST = 1000  # places of a fingerprint that is sent to every task, at least
+HOT_MOST = 100_000  # such fingerprints at most: more places than this part of all
 
 
 def _sliding(g: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
@@ -73,46 +75,58 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _chain_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, key0, places) to stretches of words that matches on one diagonal cover without a gap.
+def _context_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key0, words, marks of (print, pos0, n)) to a row for each mark with the WINDOW words left and right of its place."""
+    for batch in batches:
+        (words_at, words), marks = _flat(batch.column(1)), batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
+        parts = marks.flatten()
+        at = words_at[row] + parts.field("pos0").to_numpy()
+        left, right = np.maximum(words_at[row], at - WINDOW), np.minimum(words_at[row + 1], at + GRAM)
+        columns = [_pieces(words, left, at), _pieces(words, right, np.minimum(words_at[row + 1], right + WINDOW))]
+        yield pa.RecordBatch.from_arrays([parts.field("print"), batch.column(0).take(pa.array(row)), parts.field("pos0"), parts.field("n"), *columns], names=["print", "key0", "pos0", "n", "left", "right"])
+
+
+def _pieces(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """A list column of the stretches begin to end."""
+    offs = np.concatenate([[0], np.cumsum(end - begin)])
+    at = np.arange(offs[-1]) + np.repeat(begin - offs[:-1], end - begin)
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(words[at].astype(np.int32)))
+
 
-    A place is a shared fingerprint's word here << 32 | there; shift is the difference of the two.
+def _runs_map(least_words: int):
+    """(key, places of (key0, pos, pos0, left, right), words) to merged runs.
+
+    Places on one diagonal that cover words without a gap are a chain; its two ends are extended word
+    by word along the words beside the earlier place.
     """
-    for batch in batches:
-        offs, place = _flat(batch.column(2))
-        row, pos = np.repeat(np.arange(batch.num_rows), np.diff(offs)), place >> 32
-        shift = pos - (place & 0xFFFFFFFF)
-        order = np.lexsort((pos, shift, row))
-        row, pos, shift = row[order], pos[order], shift[order]
-        begins = np.ones(len(row), bool)
-        begins[1:] = (np.diff(row) != 0) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
-        a = np.flatnonzero(begins)
-        z = np.append(a[1:], len(row))[: len(a)] - 1
-        take = pa.array(row[a])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (pos[a], pos[z] + GRAM, shift[a]))], names=["key", "key0", "begin", "end", "shift"])
-
-
-def _extend_map(least_words: int):
-    """(key, chains of (begin, end, left, right), words) to merged runs; left and right are the words beside the first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chains, (own_at, own) = batch.column(1), _flat(batch.column(2))
-            count = np.diff(chains.offsets.to_numpy())
-            row, parts = np.repeat(np.arange(batch.num_rows), count), chains.flatten()
+            places, (own_at, own) = batch.column(1), _flat(batch.column(2))
+            row, parts = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy())), places.flatten()
+            key0, pos = parts.field("key0").to_numpy(), parts.field("pos").to_numpy().astype(np.int64)
+            shift = pos - parts.field("pos0").to_numpy()
+            order = np.lexsort((pos, shift, key0, row))
+            row, key0, pos, shift = row[order], key0[order], pos[order], shift[order]
+            begins = np.ones(len(row), bool)
+            begins[1:] = (np.diff(row) != 0) | (key0[1:] != key0[:-1]) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
+            a = np.flatnonzero(begins)
+            z = np.append(a[1:], len(row))[: len(a)] - 1
+            row = row[a]
             lo, hi = own_at[row], own_at[row + 1]
-            begin = lo + parts.field("begin").to_numpy()
-            end = np.minimum(hi, lo + parts.field("end").to_numpy())
+            begin, end = lo + pos[a], np.minimum(hi, lo + pos[z] + GRAM)
             (left_at, left), (right_at, right) = _flat(parts.field("left")), _flat(parts.field("right"))
+            first, last = order[a], order[z]
             on = np.arange(len(row))
             for j in range(1, WINDOW + 1):
-                on = on[(begin[on] > lo[on]) & (left_at[on + 1] - j >= left_at[on])]
-                on = on[own[begin[on] - 1] == left[left_at[on + 1] - j]]
+                on = on[(begin[on] > lo[on]) & (left_at[first[on] + 1] - j >= left_at[first[on]])]
+                on = on[own[begin[on] - 1] == left[left_at[first[on] + 1] - j]]
                 begin[on] -= 1
             on = np.arange(len(row))
             for j in range(WINDOW):
-                on = on[(end[on] < hi[on]) & (right_at[on] + j < right_at[on + 1])]
-                on = on[own[end[on]] == right[right_at[on] + j]]
+                on = on[(end[on] < hi[on]) & (right_at[last[on]] + j < right_at[last[on] + 1])]
+                on = on[own[end[on]] == right[right_at[last[on]] + j]]
                 end[on] += 1
             order = np.lexsort((begin, row))
             row, begin, end = row[order], begin[order] + row[order], end[order] + row[order]  # documents don't touch
@@ -134,29 +148,35 @@ def repeated_runs(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id"
 
     ``key`` is xxhash64(doc_id, text); rows that repeat both are one document.  A run counts from
     ``least_words`` words on, or as a whole document.  Every run of WINDOW + GRAM - 1 words has a
-    fingerprint and is found; of those from GRAM words on, some are.  A document with fewer than GRAM
-    words is compared as a whole.
+    fingerprint and is found, but for up to WINDOW - 1 words at an end if its outermost fingerprint
+    first stands in a passage that ends sooner; of runs from GRAM words on, some are.  A document with
+    fewer than GRAM words is compared as a whole.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, words array<int>, at array<int>, prints array<long>"), "words")
     prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
     # the first place of each fingerprint; a partial aggregate reduces frequent ones before the shuffle
-    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", F.col("f.key").alias("key0"), F.col("f.pos").alias("pos0"))
-    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("pos0")
-    matches = prints.join(first, "print").where("key <> key0 or pos <> pos0").groupBy("key", "key0").agg(F.collect_set(place).alias("places"))
-    chains = materialize(matches.mapInArrow(_chain_map, "key long, key0 long, begin int, end int, shift int"), "matches")
-    # a document that repeats in full has equal keys only if its doc_id repeats, then it is one document
-    def words_of(name: str, column: str) -> DataFrame:
-        own = feats.select(F.col("key").alias(name), F.col("words").alias(column))
-        return own.join(chains.select(name).distinct(), name, "left_semi").dropDuplicates([name])
-
-    # beyond WINDOW words beside a chain the next fingerprint decides, wherever its first place is
-    at, to, beside = F.col("begin") - F.col("shift"), F.col("end") - F.col("shift"), F.lit(WINDOW)
-    left = F.slice("other", F.greatest(at - beside, F.lit(0)) + 1, F.least(at, beside))
-    ends = chains.join(words_of("key0", "other"), "key0").select("key", "begin", "end", left.alias("left"), F.slice("other", to + 1, beside).alias("right"))
-    ends = ends.groupBy("key").agg(F.collect_list(F.struct("begin", "end", "left", "right")).alias("chains"))
-    return ends.join(words_of("key", "own"), "key").select("key", "chains", "own").mapInArrow(_extend_map(least_words), "key long, spans array<long>")
+    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    marks = first.groupBy(F.col("f.key").alias("key0")).agg(F.collect_list(F.struct("print", F.col("f.pos").alias("pos0"), "n")).alias("marks"))
+
+    def words_of(name: str, of: DataFrame) -> DataFrame:
+        return feats.select(F.col("key").alias(name), "words").join(of.select(name), name, "left_semi").dropDuplicates([name])
+
+    # the words beside each first place stand in its own row, so a place that very many share is copied to none
+    marks = materialize(marks, "marks")
+    sources = materialize(words_of("key0", marks).join(marks, "key0").select("key0", "words", "marks").mapInArrow(_context_map, "print long, key0 long, pos0 int, n long, left array<int>, right array<int>"), "sources")
+    # fingerprints beyond a share of all are at most that many: they are sent to every task, so none meets in one
+    total = feats.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    bound = max(HOT_LEAST, total // HOT_MOST)
+    hot, cold = F.broadcast(sources.where(F.col("n") > bound).drop("n")), sources.where(F.col("n") <= bound).drop("n")
+    if sources.where(F.col("n") > bound).isEmpty():
+        both = prints.join(cold, "print")
+    else:
+        both = prints.join(hot, "print").unionByName(prints.join(hot.select("print"), "print", "left_anti").join(cold, "print"))
+    places = both.where("key <> key0 or pos <> pos0").groupBy("key").agg(F.collect_set(F.struct("key0", "pos", "pos0", "left", "right")).alias("places"))
+    places = materialize(places, "places")
+    return places.join(words_of("key", places), "key").select("key", "places", "words").mapInArrow(_runs_map(least_words), "key long, spans array<long>")
 
 
 def _cut(data: np.ndarray, words: Words, a: int, b: int, lo: int, hi: int, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -170,7 +190,7 @@ def _cut(data: np.ndarray, words: Words, a: int, b: int, lo: int, hi: int, runs:
     return b"".join(out), deleted
 
 
-def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
+def _delete_map(at_text: int, at_runs: int, names: list[str], counts: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, deleted, changed = batch.column(at_text), np.zeros(batch.num_rows, np.int64), {}
@@ -187,27 +207,27 @@ def _delete_map(at_text: int, at_runs: int, names: list[str], counts: bool):
             mask[list(changed)] = True
             text = pc.replace_with_mask(text, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], text.type))
             columns = [text if k == at_text else batch.column(k) for k in range(batch.num_columns) if k != at_runs]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(deleted, pa.int64())] if counts else columns, names=[*names, "deleted_words"] if counts else names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(deleted, pa.int64())] if counts else columns, names=[*names, counts] if counts else names)
 
     return run
 
 
-def delete_repeated_lines(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: str | None = None) -> DataFrame:
     """``docs`` with later repeated runs of words cut out of the text; every row and every other column stays.
 
-    A text all of whose words go becomes empty; a null text stays null.  With ``counts`` a column
-    deleted_words follows (any column of that name is replaced).
+    A text all of whose words go becomes empty; a null text stays null.  ``counts`` names a column
+    with the number of deleted words that follows (any column of that name is replaced).
     """
     bounded_batches(docs.sparkSession)
     runs = repeated_runs(docs, least_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("spans").alias("__runs"))
     runs = materialize(runs, "runs")
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
-    names = [n for n in docs.columns if not (counts and n == "deleted_words")]
+    names = [n for n in docs.columns if n != counts]
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     given = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string")).withColumn("__own", key)
     joined = given.join(runs, given["__own"] == runs["__key"], "left").select(*names, "__runs")
     schema = joined.select(*names).schema
     if counts:
-        schema = schema.add("deleted_words", "long")
+        schema = schema.add(counts, "long")
     return joined.mapInArrow(_delete_map(names.index(text_col), len(names), names, counts), schema)

@@ -58,7 +58,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import delete_repeated_lines
 
-    return delete_repeated_lines(_read(spark, sf_dir, "documents"), counts=True).select("doc_id", "deleted_words", "text")
+    return delete_repeated_lines(_read(spark, sf_dir, "documents"), counts="deleted_words").select("doc_id", "deleted_words", "text")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,7 +247,7 @@ def test_decontaminate(spark, docs, texts):
 def test_line_dedup(docs, texts):
     from millrace.llm.line_dedup import delete_repeated_lines
 
-    out = delete_repeated_lines(docs, counts=True)
+    out = delete_repeated_lines(docs, counts="deleted_words")
     assert out.columns == [*docs.columns, "deleted_words"] and out.count() == len(texts)
     kept = collections.defaultdict(list)
     for r in out.collect():
