@@ -21,7 +21,8 @@ from .storage import bounded_batches, materialize
 from .words import Words, each_block, list_column, long_grams, mix
 
 GRAM = 20  # words; not less than WINDOW, so that the fingerprints of a shared passage leave no gap
-WINDOW = 20  # grams
+WINDOW = 10  # grams
+BESIDE = 20  # words on each side of a first place that are compared; not less than WINDOW
 BROADCAST_ROWS = 200_000  # documents with runs; beyond it the join shuffles
 HOT_LEAST = 1000  # places of a fingerprint that is sent to every task, at least
 HOT_MOST = 100_000  # such fingerprints at most: more places than this part of all
@@ -76,14 +77,14 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _context_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key0, words, marks of (print, pos0, n)) to a row for each mark with the WINDOW words left and right of its place."""
+    """(key0, words, marks of (print, pos0, n)) to a row for each mark with the BESIDE words left and right of its place."""
     for batch in batches:
         (words_at, words), marks = _flat(batch.column(1)), batch.column(2)
         row = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
         parts = marks.flatten()
         at = words_at[row] + parts.field("pos0").to_numpy()
-        left, right = np.maximum(words_at[row], at - WINDOW), np.minimum(words_at[row + 1], at + GRAM)
-        columns = [_pieces(words, left, at), _pieces(words, right, np.minimum(words_at[row + 1], right + WINDOW))]
+        left, right = np.maximum(words_at[row], at - BESIDE), np.minimum(words_at[row + 1], at + GRAM)
+        columns = [_pieces(words, left, at), _pieces(words, right, np.minimum(words_at[row + 1], right + BESIDE))]
         yield pa.RecordBatch.from_arrays([parts.field("print"), batch.column(0).take(pa.array(row)), parts.field("pos0"), parts.field("n"), *columns], names=["print", "key0", "pos0", "n", "left", "right"])
 
 
@@ -119,12 +120,12 @@ def _runs_map(least_words: int):
             (left_at, left), (right_at, right) = _flat(parts.field("left")), _flat(parts.field("right"))
             first, last = order[a], order[z]
             on = np.arange(len(row))
-            for j in range(1, WINDOW + 1):
+            for j in range(1, BESIDE + 1):
                 on = on[(begin[on] > lo[on]) & (left_at[first[on] + 1] - j >= left_at[first[on]])]
                 on = on[own[begin[on] - 1] == left[left_at[first[on] + 1] - j]]
                 begin[on] -= 1
             on = np.arange(len(row))
-            for j in range(WINDOW):
+            for j in range(BESIDE):
                 on = on[(end[on] < hi[on]) & (right_at[last[on]] + j < right_at[last[on] + 1])]
                 on = on[own[end[on]] == right[right_at[last[on]] + j]]
                 end[on] += 1
