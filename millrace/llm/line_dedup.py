@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialize
@@ -24,8 +24,10 @@ GRAM = 20  # words; not less than WINDOW, so that the fingerprints of a shared p
 WINDOW = 10  # grams
 BESIDE = 20  # words on each side of a first place that are compared; not less than WINDOW
 BROADCAST_ROWS = 200_000  # documents with runs; beyond it the join shuffles
-HOT_LEAST = 1000  # places of a fingerprint that is sent to every task, at least
-HOT_MOST = 100_000  # such fingerprints at most: more places than this part of all
+HOT_SAMPLE = 1 / 8  # of the documents show which fingerprints are frequent; this decides only how they are joined
+HOT_LEAST = 1000  # places of a fingerprint (or chains at an end) that is sent to every task, at least
+HOT_MOST = 100_000  # such fingerprints at most: each has more than this part of all places
+END_MOST = 20_000  # such ends at most
 
 
 def _sliding(g: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
@@ -60,14 +62,20 @@ def _prints(words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return at, prints
 
 
-def _feature_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, words, at, prints): short hashes of words, fingerprints and their first words."""
+def _print_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, text) to (key, doc_id, at, prints): fingerprints and their first words."""
     for batch in batches:
         for i, words, _ in each_block(batch.column(2)):
-            short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
             at, prints = _prints(words)
-            lists = [pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(short)), list_column([x.astype(np.int32) for x in at], pa.int32()), list_column(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), *lists], names=["key", "doc_id", "words", "at", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), list_column([x.astype(np.int32) for x in at], pa.int32()), list_column(prints, pa.int64())], names=["key", "doc_id", "at", "prints"])
+
+
+def _word_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, words): short hashes of the words."""
+    for batch in batches:
+        for i, words, _ in each_block(batch.column(1)):
+            short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(short))], names=["key", "words"])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,58 +84,68 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _context_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key0, words, marks of (print, pos0, n)) to a row for each mark with the BESIDE words left and right of its place."""
-    for batch in batches:
-        (words_at, words), marks = _flat(batch.column(1)), batch.column(2)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
-        parts = marks.flatten()
-        at = words_at[row] + parts.field("pos0").to_numpy()
-        left, right = np.maximum(words_at[row], at - BESIDE), np.minimum(words_at[row + 1], at + GRAM)
-        columns = [_pieces(words, left, at), _pieces(words, right, np.minimum(words_at[row + 1], right + BESIDE))]
-        yield pa.RecordBatch.from_arrays([parts.field("print"), batch.column(0).take(pa.array(row)), parts.field("pos0"), parts.field("n"), *columns], names=["print", "key0", "pos0", "n", "left", "right"])
-
+def _chain_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, places of (key0, pos, pos0)) to chains: stretches of words that places on one diagonal cover without a gap.
 
-def _pieces(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.ListArray:
-    """A list column of the stretches begin to end."""
-    offs = np.concatenate([[0], np.cumsum(end - begin)])
-    at = np.arange(offs[-1]) + np.repeat(begin - offs[:-1], end - begin)
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(words[at].astype(np.int32)))
+    Each chain is two rows (key, key0, at, side, begin, end): of its begin (side 0) and its end (1) in
+    the earlier document.
+    """
+    for batch in batches:
+        places = batch.column(1)
+        row, parts = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy())), places.flatten()
+        key0, pos = parts.field("key0").to_numpy(), parts.field("pos").to_numpy().astype(np.int64)
+        shift = pos - parts.field("pos0").to_numpy()
+        order = np.lexsort((pos, shift, key0, row))
+        row, key0, pos, shift = row[order], key0[order], pos[order], shift[order]
+        begins = np.ones(len(row), bool)
+        begins[1:] = (np.diff(row) != 0) | (key0[1:] != key0[:-1]) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
+        a = np.flatnonzero(begins)
+        z = np.append(a[1:], len(row))[: len(a)] - 1
+        begin, end, at = pos[a], pos[z] + GRAM, shift[a]
+        for side, place in ((0, begin - at), (1, end - at)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[a])), pa.array(key0[a]), pa.array(place.astype(np.int32)), pa.array(np.full(len(a), side, np.int8)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "key0", "at", "side", "begin", "end"])
+
+
+def _beside_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key0, words, ends of (at, side)) to a row for each end with the BESIDE words left (side 0) or right of it."""
+    for batch in batches:
+        (words_at, words), ends = _flat(batch.column(1)), batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(ends.offsets.to_numpy()))
+        parts = ends.flatten()
+        lo, hi, side = words_at[row], words_at[row + 1], parts.field("side").to_numpy()
+        at = np.minimum(hi, lo + parts.field("at").to_numpy())
+        begin, end = np.where(side == 0, np.maximum(lo, at - BESIDE), at), np.where(side == 0, at, np.minimum(hi, at + BESIDE))
+        offs = np.concatenate([[0], np.cumsum(end - begin)])
+        own = words[np.arange(offs[-1]) + np.repeat(begin - offs[:-1], end - begin)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), parts.field("at"), parts.field("side"), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(own.astype(np.int32)))], names=["key0", "at", "side", "beside"])
 
 
 def _runs_map(least_words: int):
-    """(key, places of (key0, pos, pos0, left, right), words) to merged runs.
+    """(key, ends of (key0, at, side, begin, end, beside), words) to merged runs.
 
-    Places on one diagonal that cover words without a gap are a chain; its two ends are extended word
-    by word along the words beside the earlier place.
+    A chain's two ends are extended word by word along the words beside the earlier place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, (own_at, own) = batch.column(1), _flat(batch.column(2))
-            row, parts = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy())), places.flatten()
-            key0, pos = parts.field("key0").to_numpy(), parts.field("pos").to_numpy().astype(np.int64)
-            shift = pos - parts.field("pos0").to_numpy()
-            order = np.lexsort((pos, shift, key0, row))
-            row, key0, pos, shift = row[order], key0[order], pos[order], shift[order]
-            begins = np.ones(len(row), bool)
-            begins[1:] = (np.diff(row) != 0) | (key0[1:] != key0[:-1]) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
-            a = np.flatnonzero(begins)
-            z = np.append(a[1:], len(row))[: len(a)] - 1
-            row = row[a]
+            ends, (own_at, own) = batch.column(1), _flat(batch.column(2))
+            row, parts = np.repeat(np.arange(batch.num_rows), np.diff(ends.offsets.to_numpy())), ends.flatten()
+            (beside_at, beside), names = _flat(parts.field("beside")), ("begin", "end", "at", "side", "key0")
+            begin, end, at, side, key0 = (parts.field(n).to_numpy().astype(np.int64) for n in names)
+            order = np.lexsort((side, end, begin, at + np.where(side == 0, -begin, -end), key0, row))  # a chain's begin, then its end
+            first, last = order[::2], order[1::2]
+            row, begin, end = row[first], begin[first], end[first]
             lo, hi = own_at[row], own_at[row + 1]
-            begin, end = lo + pos[a], np.minimum(hi, lo + pos[z] + GRAM)
-            (left_at, left), (right_at, right) = _flat(parts.field("left")), _flat(parts.field("right"))
-            first, last = order[a], order[z]
+            begin, end = lo + begin, np.minimum(hi, lo + end)
             on = np.arange(len(row))
             for j in range(1, BESIDE + 1):
-                on = on[(begin[on] > lo[on]) & (left_at[first[on] + 1] - j >= left_at[first[on]])]
-                on = on[own[begin[on] - 1] == left[left_at[first[on] + 1] - j]]
+                on = on[(begin[on] > lo[on]) & (beside_at[first[on] + 1] - j >= beside_at[first[on]])]
+                on = on[own[begin[on] - 1] == beside[beside_at[first[on] + 1] - j]]
                 begin[on] -= 1
             on = np.arange(len(row))
             for j in range(BESIDE):
-                on = on[(end[on] < hi[on]) & (right_at[last[on]] + j < right_at[last[on] + 1])]
-                on = on[own[end[on]] == right[right_at[last[on]] + j]]
+                on = on[(end[on] < hi[on]) & (beside_at[last[on]] + j < beside_at[last[on] + 1])]
+                on = on[own[end[on]] == beside[beside_at[last[on]] + j]]
                 end[on] += 1
             order = np.lexsort((begin, row))
             row, begin, end = row[order], begin[order] + row[order], end[order] + row[order]  # documents don't touch
@@ -144,40 +162,67 @@ def _runs_map(least_words: int):
     return run
 
 
+def _matches(feats: DataFrame) -> DataFrame:
+    """(key, pos, key0, pos0): each place of a fingerprint but the first, with the first one.
+
+    Fingerprints that a sample shows in more than a set share of all places are sent to every task
+    (they are HOT_MOST at most), so that none meets in one task; the others are shuffled once.
+    """
+    prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
+    total = feats.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    bound = max(HOT_LEAST, total // HOT_MOST) * HOT_SAMPLE
+    some = feats.where(F.rand(17) < HOT_SAMPLE).select(F.explode("prints").alias("print")).groupBy("print").count().where(F.col("count") >= bound).select("print")
+    hot = materialize(some, "hot")
+    place = F.struct("doc_id", "key", "pos")
+
+    def others(rows: DataFrame, first: str) -> DataFrame:
+        return rows.select("key", "pos", F.col(f"{first}.key").alias("key0"), F.col(f"{first}.pos").alias("pos0")).where("key <> key0 or pos <> pos0")
+
+    rare = prints if hot.isEmpty() else prints.join(F.broadcast(hot), "print", "left_anti")
+    upto = Window.partitionBy("print").orderBy("doc_id", "key", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = others(rare.withColumn("f", F.first(F.struct("key", "pos")).over(upto)), "f")
+    if not hot.isEmpty():
+        often = prints.join(F.broadcast(hot), "print", "left_semi").groupBy("print").agg(F.min(place).alias("f"))
+        out = out.unionByName(others(prints.join(F.broadcast(often), "print"), "f"))
+    return out
+
+
 def repeated_runs(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, spans): runs of words (begin << 32 | end) that stand earlier in the corpus, by order of doc_id (null first) and position.
 
     ``key`` is xxhash64(doc_id, text); rows that repeat both are one document.  A run counts from
     ``least_words`` words on, or as a whole document.  Every run of WINDOW + GRAM - 1 words has a
     fingerprint and is found, but for up to WINDOW - 1 words at an end if its outermost fingerprint
-    first stands in a passage that ends sooner; of runs from GRAM words on, some are.  A document with
+    first stands in a passage that ends sooner; of runs from GRAM words on, most are.  A document with
     fewer than GRAM words is compared as a whole.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialize(texts.mapInArrow(_feature_map, "key long, doc_id long, words array<int>, at array<int>, prints array<long>"), "words")
-    prints = feats.select("key", "doc_id", F.explode(F.arrays_zip("at", "prints")).alias("x")).select("key", "doc_id", F.col("x.at").alias("pos"), F.col("x.prints").alias("print"))
-    # the first place of each fingerprint; a partial aggregate reduces frequent ones before the shuffle
-    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    marks = first.groupBy(F.col("f.key").alias("key0")).agg(F.collect_list(F.struct("print", F.col("f.pos").alias("pos0"), "n")).alias("marks"))
-
-    def words_of(name: str, of: DataFrame) -> DataFrame:
-        return feats.select(F.col("key").alias(name), "words").join(of.select(name), name, "left_semi").dropDuplicates([name])
-
-    # the words beside each first place stand in its own row, so a place that very many share is copied to none
-    marks = materialize(marks, "marks")
-    sources = materialize(words_of("key0", marks).join(marks, "key0").select("key0", "words", "marks").mapInArrow(_context_map, "print long, key0 long, pos0 int, n long, left array<int>, right array<int>"), "sources")
-    # fingerprints beyond a share of all are at most that many: they are sent to every task, so none meets in one
-    total = feats.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-    bound = max(HOT_LEAST, total // HOT_MOST)
-    hot, cold = F.broadcast(sources.where(F.col("n") > bound).drop("n")), sources.where(F.col("n") <= bound).drop("n")
-    if sources.where(F.col("n") > bound).isEmpty():
-        both = prints.join(cold, "print")
+    feats = materialize(texts.mapInArrow(_print_map, "key long, doc_id long, at array<int>, prints array<long>"), "prints")
+    places = _matches(feats).groupBy("key").agg(F.collect_set(F.struct("key0", "pos", "pos0")).alias("places"))
+    chains = materialize(places.mapInArrow(_chain_map, "key long, key0 long, at int, side byte, begin int, end int"), "chains")
+
+    def words_of(name: str) -> DataFrame:
+        keys = chains.select(F.col(name).alias("key")).distinct()
+        if keys.count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        # rows that repeat id and text are one document
+        return texts.select("key", "text").join(keys, "key", "left_semi").mapInArrow(_word_map, "key long, words array<int>").dropDuplicates(["key"]).withColumnRenamed("key", name)
+
+    ends = chains.groupBy("key0", "at", "side").agg(F.count("*").alias("n"))
+    listed = ends.groupBy("key0").agg(F.collect_list(F.struct("at", "side")).alias("ends"))
+    beside = materialize(words_of("key0").join(listed, "key0").select("key0", "words", "ends").mapInArrow(_beside_map, "key0 long, at int, side byte, beside array<int>"), "beside")
+    # an end that very many chains share is sent to every task
+    bound = max(HOT_LEAST, chains.count() // END_MOST)
+    often = materialize(ends.where(F.col("n") > bound).drop("n"), "often")
+    on = ["key0", "at", "side"]
+    if often.isEmpty():
+        told = chains.join(beside, on)
     else:
-        both = prints.join(hot, "print").unionByName(prints.join(hot.select("print"), "print", "left_anti").join(cold, "print"))
-    places = both.where("key <> key0 or pos <> pos0").groupBy("key").agg(F.collect_set(F.struct("key0", "pos", "pos0", "left", "right")).alias("places"))
-    places = materialize(places, "places")
-    return places.join(words_of("key", places), "key").select("key", "places", "words").mapInArrow(_runs_map(least_words), "key long, spans array<long>")
+        hot = F.broadcast(beside.join(F.broadcast(often), on, "left_semi"))
+        told = chains.join(hot, on).unionByName(chains.join(F.broadcast(often), on, "left_anti").join(beside, on))
+    told = told.groupBy("key").agg(F.collect_list(F.struct("key0", "at", "side", "begin", "end", "beside")).alias("ends"))
+    return words_of("key").join(told, "key").select("key", "ends", "words").mapInArrow(_runs_map(least_words), "key long, spans array<long>")
 
 
 def _cut(data: np.ndarray, words: Words, a: int, b: int, lo: int, hi: int, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
