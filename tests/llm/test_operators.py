@@ -73,8 +73,82 @@ def test_jaccard(docs, texts):
     assert stays.count() == len({find(k) for k in range(len(sets))})
 
 
+@pytest.mark.parametrize(("cell", "frequent"), [((4, 1 << 20), 6), ((160, 600), 2), ((3, 300), 2)])
+def test_jaccard_large_groups(spark, monkeypatch, cell, frequent):
+    """Groups cut into small cells, and buckets of frequent shingles, give the components of brute force."""
+    from millrace.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "CELL_SETS", cell[0])
+    monkeypatch.setattr(nd, "CELL_TOKENS", cell[1])
+    monkeypatch.setattr(nd, "FREQUENT_IN", frequent)
+    rng, rows = random.Random(12), []
+    for family in range(4):
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for _ in range(30):  # similarities around the bound, and sizes over several bands
+            w = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            w = w[: rng.randrange(90, 151)] + [f"y{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 0, 4, 12]))]
+            rows.append(" ".join(w))
+        rows += [" ".join(base[:20] + [f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 60))]) for _ in range(10)]
+    rng.shuffle(rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    forest = nd.Forest(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                forest.join(a, b)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nd.jaccard_components(docs).collect()}
+    assert got == {k: forest.find(k) for k in range(len(rows))}
+    assert 8 < len(set(got.values())) < len(rows)
+
+
+def test_size_ranges():
+    from millrace.llm.near_duplicates import size_ranges
+
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 16, 17, 20, 21, 40, 100, 100, 125, 128, 129, 160]
+    both = {(a, b) for at in size_ranges(sizes, 4, 5) for a in at for b in at}
+    assert all((a, b) in both for a in range(len(sizes)) for b in range(a) if 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b]))
+    assert all(max(sizes[k] for k in at) <= 2 * min(sizes[k] for k in at) for at in size_ranges(sizes, 4, 5))
+
+
+def test_bucket_map(monkeypatch):
+    """Pairs of small buckets and rows of large ones, whatever the batches, and repeated classes once."""
+    import pyarrow as pa
+
+    from millrace.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "SMALL", 3)
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(40), 10 + c % 3, c) for c in (rng.randrange(60) for _ in range(150))})
+    rows = sorted(rows + rng.sample(rows, 40))
+    by = collections.defaultdict(list)
+    for t, n, c in dict.fromkeys(rows):
+        by[t].append((n, c))
+    pairs = collections.Counter((min(c, d), max(c, d)) for own in by.values() if len(own) <= 3 for k, (n, c) in enumerate(own) for m, d in own[k + 1 :] if c != d and 5 * n >= 4 * m)
+    large = {(t, c, n) for t, own in by.items() if len(own) > 3 for n, c in own}
+    for step in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + step], strict=True)], names=["t", "n", "c"]) for k in range(0, len(rows), step)]
+        got, rest = collections.Counter(), set()
+        for b in nd._bucket_map(4, 5)(iter(batches)):
+            for r in b.to_pylist():
+                if r["kind"] == nd.PAIR:
+                    got[r["a"], r["b"]] += r["count"]
+                else:
+                    rest.add((r["a"], r["b"], r["n"]))
+        assert (got, rest) == (pairs, large)
+
+
+def test_jaccard_empty(spark, docs):
+    from millrace.llm.near_duplicates import jaccard_components, keep_one
+
+    assert jaccard_components(docs.limit(0)).count() == 0
+    assert keep_one(docs.limit(0)).columns == docs.columns
+
+
 def test_signature_tree_is_exact():
-    from millrace.llm.near_duplicates import SignatureTree
+    from millrace.llm.near_duplicates import similar_links
 
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64))
@@ -86,7 +160,7 @@ def test_signature_tree_is_exact():
             x = root[x]
         return x
 
-    for a, b in SignatureTree(sets).links(4, 5):
+    for a, b in similar_links(sets, 4, 5):
         root[find(a)] = find(b)
     own = [set(s.tolist()) for s in sets]
     for a in range(len(own)):
