@@ -153,15 +153,7 @@ def test_signature_tree_is_exact():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, len(base) - int(c), replace=False), rng.integers(0, 1 << 62, int(c)).astype(np.uint64)])) for c in rng.integers(0, 25, 90)]
-    root = list(range(len(sets)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in similar_links(sets, 4, 5):
-        root[find(a)] = find(b)
+    find = similar_links(sets, 4, 5).find
     own = [set(s.tolist()) for s in sets]
     for a in range(len(own)):
         for b in range(a):
