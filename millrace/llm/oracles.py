@@ -24,20 +24,20 @@ _KINDS = [
     ("live", "[A-Za-z0-9_+/-]{24,}", 0),
 ]
 OP2 = (
-    "with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner from documents),\nfound as (\n"
+    "with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(source, '') as owner, concat_ws('/', source, lang) as repo from documents),\nfound as (\n"
     + "\nunion all\n".join(_FOUND.format(name=name, rank=k, pattern=pattern, group=group) for k, (name, pattern, group) in enumerate(_KINDS))
     + """),
 kept as (select rid, kind, rank, x.start as start, x.start + x.size as stop, x.value as value from found
   where length(x.value) >= case kind when 'assign' then 12 when 'access' then 18 when 'hex' then 16 else 24 end
     and (kind <> 'live' or (regexp_matches(x.value, '[a-z]') and regexp_matches(x.value, '[A-Z]') and regexp_matches(x.value, '[0-9]')))),
-owned as (select kind, value, count(distinct owner) as owners from kept join d using (rid) group by kind, value),
-marked as (select * from kept join owned using (kind, value) where kind <> 'live' or owners = 1),
+owned as (select value, count(distinct owner) as owners, count(distinct (owner, repo)) as repos from kept join d using (rid) group by value),
+marked as (select * from kept join owned using (value) where kind <> 'live' or (owners = 1 and repos <= 2)),
 per as (select rid, count(*) filter (where kind = 'assign') as a, count(*) filter (where kind = 'access') as c, count(*) filter (where kind = 'hex') as x,
   string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (where kind <> 'live') as base,
   string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
-  count(*) filter (where owners = 1) as live, count(*) filter (where owners >= 3) as example, max(owners) as most from marked group by rid)
+  count(*) filter (where owners = 1 and repos <= 2) as live, count(*) filter (where owners >= 3 or repos >= 6) as example, max(owners) as most, max(repos) as wide from marked group by rid)
 select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(x, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-  coalesce(live, 0) as n_live, coalesce(example, 0) as n_example, coalesce(most, 0) as most_owners
+  coalesce(live, 0) as n_live, coalesce(example, 0) as n_example, coalesce(most, 0) as most_owners, coalesce(wide, 0) as most_repos
 from d left join per using (rid)
 """
 )
