@@ -9,6 +9,8 @@ edit distance of the whole item.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches
 from .words import each_block, grams, text_buffer, Words
 
-MOST_ITEM_BYTES = 256 << 20  # of all items together, which every task holds
+MOST_ITEM_BYTES = 64 << 20  # of items that a task holds at once
 
 
 def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -84,49 +86,64 @@ class Items:
                 for item, off in rows[a:b].tolist():
                     spots.add((int(words.doc[p]), item, p - off))
         out: dict[int, dict[int, tuple[int, int, int]]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for doc, item, start in sorted(spots):
+        for (doc, item), own in groupby(sorted(spots), lambda x: x[:2]):
             budget, w = self.budget[item], self.words[item]
-            before = done.get((doc, item))
-            if before is not None and start - budget < before:
-                start = max(start, before)
             first, last = int(words.first[doc]), int(words.first[doc + 1])
-            lo, hi = max(first, start - budget), min(last, start + len(w) + budget)
-            if hi - lo < len(w) - budget:
-                continue
-            distance, end = best_match(w.tolist(), words.hash[lo:hi].tolist())
-            if distance <= budget:
-                end += lo
-                back, length = best_match(w[::-1].tolist(), words.hash[max(lo, end - len(w) - budget) : end][::-1].tolist())
-                begin = end - (length if back == distance else len(w))
-                own = out.setdefault(doc, {})
-                if item not in own or distance < own[item][0]:
-                    own[item] = (distance, begin - first, end - first)
-                done[doc, item] = end
+            for lo, hi in _windows([x[2] for x in own], len(w), budget, first, last):
+                if hi - lo < len(w) - budget:
+                    continue
+                distance, end = best_match(w.tolist(), words.hash[lo:hi].tolist())
+                if distance <= budget and (item not in out.get(doc, {}) or distance < out[doc][item][0]):
+                    end += lo
+                    back, length = best_match(w[::-1].tolist(), words.hash[max(lo, end - len(w) - budget) : end][::-1].tolist())
+                    begin = end - (length if back == distance else len(w))
+                    out.setdefault(doc, {})[item] = (distance, begin - first, end - first)
         return out
 
 
-def _items(benchmark: DataFrame, error: float):
-    """The items for every task, or an error if they exceed the stated bound."""
+def _windows(starts: list[int], size: int, budget: int, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Where an item of ``size`` words that would begin at one of the sorted ``starts`` can stand; windows that touch are one."""
+    lo = hi = None
+    for x in starts:
+        a, b = max(first, x - budget), min(last, x + size + budget)
+        if hi is not None and a <= hi:
+            hi = max(hi, b)
+            continue
+        if hi is not None:
+            yield lo, hi
+        lo, hi = a, b
+    if hi is not None:
+        yield lo, hi
+
+
+def _parts(benchmark: DataFrame, error: float) -> Iterator:
+    """The items for every task, in parts of about MOST_ITEM_BYTES: one part but for a very large benchmark."""
     bounded_batches(benchmark.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes; {MOST_ITEM_BYTES} is the most that is sent to every task: call this for parts of it")
-    got = rows.orderBy("item_id", "text").collect()
-    return benchmark.sparkSession.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got], error))
+    parts = max(1, -(-size // MOST_ITEM_BYTES))
+    for part in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        got = own.orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([r[0] for r in got], [r[1] for r in got], error))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word): the best occurrence of each item in each document that has one.
 
     An occurrence is a stretch of the document's words (runs without ASCII space, A-Z as a-z) within
-    ``floor(error * words of the item)`` word edits of the item.  Null or empty texts and items
-    match nothing; repeated rows each give their rows; a null doc_id stays null.  Items are held by
-    every task, up to MOST_ITEM_BYTES; beyond that the call fails and has to be made for parts.
+    ``floor(error * words of the item)`` word edits of the item; the best is that with the least
+    distance, of these the first that ends, and the shortest.  Null or empty texts and items match
+    nothing, and an empty table gives no rows; rows of ``docs`` that repeat each give their rows, items
+    that repeat id and text count once; a null doc_id or item_id stays null.  Every task holds a part
+    of the items of about MOST_ITEM_BYTES; a larger benchmark is taken part by part, each in a pass
+    over the documents.  Other columns aren't read.
     """
-    items = _items(benchmark, error)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return reduce(DataFrame.union, [_found(texts, items) for items in _parts(benchmark, error)])
 
+
+def _found(texts: DataFrame, items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Items = items.value
         for batch in batches:
@@ -136,12 +153,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, id_
                     rows += [(ids[at + doc], known.ids[k], *found[k]) for k in sorted(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "distance", "first_word", "end_word"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id long, distance long, first_word long, end_word long")
+    return texts.mapInArrow(run, "doc_id long, item_id long, distance long, first_word long, end_word long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = 0.2, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; all columns are kept.  One pass, no shuffle."""
-    items = _items(benchmark, error)
+    """The rows of ``docs`` whose text holds no item (see :func:`contamination`); all columns are kept.  One pass for each part of the items, no shuffle."""
+    return reduce(lambda rows, items: _clean(rows, items, text_col), _parts(benchmark, error), docs)
+
+
+def _clean(docs: DataFrame, items, text_col: str) -> DataFrame:
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
