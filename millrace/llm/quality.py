@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_DO
     """
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, keep, most)
-    rows = sample.mapInArrow(_passage_map, "doc_id long, y int, passages binary").orderBy("doc_id").toArrow()
+    rows = sample.mapInArrow(_passage_map, "doc_id long, y int, passages binary").orderBy("doc_id", "y", "passages").toArrow()
     model = AttentionMIL()
     xs = [np.frombuffer(v, np.float32).reshape(-1, WIDTH) for v in rows.column("passages").to_pylist()]
     ys = rows.column("y").to_numpy()

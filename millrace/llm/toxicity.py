@@ -22,9 +22,11 @@ from .words import Words, each_block, grams
 
 TRAIN_DOCS = 6000  # bound of the labelled sample
 TERMS_MOST = 2000  # bound of the lexicon
+SHORT = 3  # letters of words that are no terms: too many other words are like them
 STEMS = range(4, 9)  # lengths of stems that are tried
 WINDOW = 8  # words on each side of a hit
 CACHE = 400_000  # distinct words whose result a task keeps
+STEPS_MOST = 200_000  # transitions of the automaton that a task keeps
 QUOTED_WEIGHT = 0.25  # of a hit in quotation
 
 # Marks stripped from words, quote marks, and words that report speech.
@@ -62,10 +64,15 @@ class FuzzyTrie:
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], e)
             self.ends[node].append(k)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with no states but the first; they are made again as words need them."""
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.final: list[tuple[int, int] | None] = []  # at the word's end: (errors, term)
+        self.kept = 0
         self.start = self._state({(0, 0)}, None)
 
     def _state(self, pairs: set[tuple[int, int]], stem: tuple[int, int] | None) -> int:
@@ -102,10 +109,13 @@ class FuzzyTrie:
                 nxt.add((to, e if d == c else e + 1))
             nxt.add((node, e + 1))
         to = self.steps[state][c] = self._state(nxt, stem)
+        self.kept += 1
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(errors, term) of the best term within its allowance, or None."""
+        if self.kept > STEPS_MOST:
+            self._forget()
         state, steps = self.start, self.steps
         for c in word:
             to = steps[state].get(c)
@@ -170,7 +180,7 @@ def features(hits: list[tuple[int, int, bool]], n_words: int) -> list[float]:
 
 
 def _term_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sketch, y, terms): the lowest shingle hash, and the distinct words and stems of each document."""
+    """(doc_id, sketch, y, terms): the lowest shingle hash, and the distinct words and stems of each document."""
     for batch in batches:
         for i, words, data in each_block(batch.column(1)):
             g = grams(words.hash, 5)
@@ -178,14 +188,18 @@ def _term_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(words.n_docs):
                 a, b = int(words.first[d]), int(words.first[d + 1])
                 own = {plain(data[x:y].tobytes()) for x, y in zip(words.begin[a:b].tolist(), words.end[a:b].tolist(), strict=True)}
-                lists.append([w for w in own | {w[:k] + "*" for w in own for k in STEMS if len(w) > k} if len(w) > 3])
+                lists.append(sorted(w for w in own | {w[:k] + "*" for w in own for k in STEMS if len(w) > k} if len(w) > SHORT))
                 sketches.append(int((g[a : b - 4] if b - a >= 5 else words.hash[a:b]).min().view(np.int64)) if b > a else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(sketches, pa.int64()), batch.column(2).slice(i, words.n_docs), pa.array(lists, pa.list_(pa.string()))], names=["sketch", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), pa.array(sketches, pa.int64()), batch.column(2).slice(i, words.n_docs), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "sketch", "y", "terms"])
 
 
 def learn_terms(sample: DataFrame) -> list[str]:
-    """Words and stems in many toxic and hardly any other documents of the sample; near copies count once."""
-    docs = materialize(sample.mapInArrow(_term_map, "sketch long, y int, terms array<string>").dropDuplicates(["sketch"]), "terms")
+    """Words and stems of more than SHORT letters in many toxic and hardly any other documents of the sample, TERMS_MOST at most.
+
+    Of near copies that with the smallest doc_id counts.
+    """
+    rows = sample.mapInArrow(_term_map, "doc_id long, sketch long, y int, terms array<string>")
+    docs = materialize(rows.groupBy("sketch").agg(F.min(F.struct("doc_id", "y", "terms")).alias("x")).select("x.y", "x.terms"), "terms")
     toxic, clean = (docs.where(F.col("y") == k).count() for k in (1, 0))
     least = max(6, int(0.007 * toxic))
     counts = docs.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n")).where((F.col("t") >= least) & (F.col("t") * (clean + 1) >= 12 * (F.col("n") + 0.5) * (toxic + 1)))
@@ -235,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, most: int = TRAIN_DO
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", keep, most)
     model = ToxicModel(learn_terms(sample))
-    rows = sample.mapInArrow(_feature_map(model.terms, [0, 2], ["doc_id", "y"], 1), "doc_id long, y int, x array<double>").orderBy("doc_id").toArrow()
+    rows = sample.mapInArrow(_feature_map(model.terms, [0, 2], ["doc_id", "y"], 1), "doc_id long, y int, x array<double>").orderBy("doc_id", "y", "x").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     if len(set(y)) == 2:
         model.fit(np.array(rows.column("x").to_pylist()), y)
@@ -246,8 +260,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """One row for each row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
 
     Learns from labelled rows outside the held-out fold (crc32 of the id as text, modulo ``folds``,
-    is ``held``).  Null and empty texts have no hits and get the score of that.  Only the text is an
-    input of a score.
+    is ``held``); with labels of one kind or none, all scores are that of an untrained model.  Null and
+    empty texts have no hits and get the score of that.  Only the text is an input of a score.  Words of
+    SHORT letters or fewer are never terms of the lexicon, which has TERMS_MOST at most.  Rows that
+    repeat are scored alike; columns other than doc_id and text aren't read.
     """
     model = train(docs, labels, fold("doc_id", folds) != held, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", folds) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
