@@ -27,6 +27,9 @@ PROBE = 1.6  # a query takes all lists within this ratio, whatever their number
 FIRST = 48  # the nearest of them are read first; of the others only what beats the k-th found there is passed on
 DEGREE = 24
 CHUNK = 8192  # vectors of a list that one task holds
+QUERIES = 4096  # queries of a list that one task holds
+HUGE = 1e150  # norms beyond which squares overflow: such vectors stand in a list of their own that every query reads
+OWN_LIST = -1  # that list
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,6 +137,13 @@ def _lowest_map(keep: int):
     return run
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows, also where squares overflow or vanish."""
+    top = np.abs(x).max(1, initial=0)
+    top[top == 0] = 1
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(1))
+
+
 def _assign_map(graph, dim: int, most: int, ratio: float, beam: int):
     """Add lists array<int>: the centroids within ``ratio`` of the nearest one's distance."""
 
@@ -142,58 +152,89 @@ def _assign_map(graph, dim: int, most: int, ratio: float, beam: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, dist = own.search(_matrix(part.column(1), dim), most, beam)
+                x = _matrix(part.column(1), dim)
+                huge = _norms(x) > HUGE
+                x[huge] = 0
+                ids, dist = own.search(x, most, beam)
                 take = np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-12
                 take[:, 0] = True
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([i[t].tolist() for i, t in zip(ids, take, strict=True)], pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])
+                lists = [[OWN_LIST] if h else i[t].tolist() for i, t, h in zip(ids, take, huge, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])
 
     return run
 
 
 def _probe_map(graph, dim: int, ratio: float):
-    """Add lists array<int>: all centroids within ``ratio`` of the nearest one's distance, nearest first."""
+    """Add lists array<int>: all centroids within ``ratio`` of the nearest one's distance, nearest first, after the list that all read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: CentroidGraph = graph.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                dist = np.sqrt(_squared(_matrix(part.column(1), dim), own.c))
-                take = dist <= ratio * dist.min(1)[:, None] + 1e-12
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([o[: t.sum()].tolist() for o, t in zip(np.argsort(dist, axis=1, kind="stable"), take, strict=True)], pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])
+                x = _matrix(part.column(1), dim)
+                huge = _norms(x) > HUGE
+                x[huge] = 0
+                dist = np.sqrt(_squared(x, own.c))
+                take = (dist <= ratio * dist.min(1)[:, None] + 1e-12) | huge[:, None]
+                order = np.argsort(dist, axis=1, kind="stable")
+                lists = [[OWN_LIST, *o[t[o]].tolist()] for o, t in zip(order, take, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])
 
     return run
 
 
 def _near(key: tuple, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-    """Exact distances of queries (query_id, embedding, bound) to the members (ids, embedding) of a list; the k best of each query within its bound."""
+    """Distances of queries (query_id, embedding, bound) to the members (ids, embedding) of a list; the k best of each query within its bound.
+
+    A product of matrices tells which k + 1 members (one may be the query) can be nearest, with a
+    margin for its rounding; only these distances are computed exactly.
+    """
     out: list[list] = [[], [], []]
     if left.num_rows and right.num_rows:
         left, right = left.combine_chunks(), right.combine_chunks()
         emb = right.column("embedding").combine_chunks()
         m = _matrix(emb, len(emb.values) // len(emb))
         members = right.column("ids").to_pylist()
-        queries, vectors = left.column("query_id").to_pylist(), left.column("embedding").combine_chunks()
-        for q, v, bound in zip(queries, _matrix(vectors, m.shape[1]), left.column("bound").to_pylist(), strict=True):
-            d = np.sqrt(((m - v) ** 2).sum(1))
-            got = 0
-            best = np.flatnonzero(d <= bound)
-            best = best[np.argsort(d[best], kind="stable")]
-            rows: list[tuple[float, int]] = []
-            for x in best.tolist():
-                if got >= k and d[x] > rows[k - 1][0]:
-                    break
-                new = [(float(d[x]), i) for i in members[x] if i != q]
-                rows += new
-                rows.sort()
-                got = len(rows)
-            for s, i in rows[:k]:
-                out[0].append(q)
-                out[1].append(i)
-                out[2].append(s)
+        queries, vectors = left.column("query_id").to_pylist(), _matrix(left.column("embedding").combine_chunks(), m.shape[1])
+        bounds = left.column("bound").to_numpy()
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm, most = (m * m).sum(1), min(k + 1, len(m))
+        for at in range(0, len(queries), 128):
+            v, bound = vectors[at : at + 128], bounds[at : at + 128]
+            with np.errstate(over="ignore", invalid="ignore"):
+                own = (v * v).sum(1)
+                d2 = own[:, None] + norm[None, :] - 2 * v @ m.T
+                margin = 1e-11 * (own + norm.max())
+                upto = np.minimum(np.partition(d2, most - 1, axis=1)[:, most - 1], bound * bound) + margin
+                can = ~(d2 > upto[:, None])
+            if not np.isfinite(d2).all():
+                can[:] = True
+            for q, x, b, c in zip(queries[at : at + 128], v, bound.tolist(), can, strict=True):
+                best = np.flatnonzero(c)
+                d = _distances(m[best], x)
+                rows: list[tuple[float, int]] = []
+                for y in np.argsort(d, kind="stable").tolist():
+                    if d[y] > b or len(rows) >= k and d[y] > rows[k - 1][0]:
+                        break
+                    rows += [(float(d[y]), i) for i in members[best[y]] if i != q]
+                    rows.sort()
+                for s, i in rows[:k]:
+                    out[0].append(q)
+                    out[1].append(i)
+                    out[2].append(s)
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
+def _distances(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((m - v) ** 2).sum(1))
+        bad = ~np.isfinite(d)
+        if bad.any():
+            d[bad] = _norms(m[bad] - v)
+    return d
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, embedding) of rows that take part: id given, vector neither null nor zero, all components finite.
 
@@ -229,37 +270,44 @@ def _nearest_of(rows: DataFrame, k: int, every: int) -> DataFrame:
     distinct = materialize(merged.groupBy("embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "vectors")
     n = distinct.count()
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id", "embedding"])
+    dim = rows.select(F.size("embedding")).first()[0]
+    fair = distinct.where(F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double"))) < HUGE / dim).select("embedding")
     part = min(1.0, SAMPLE / n)
-    sample = distinct.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("embedding").limit(2 * SAMPLE).toArrow()
-    column = sample.column(0).combine_chunks()
-    if not len(column):
-        column = distinct.select("embedding").limit(SAMPLE).toArrow().column(0).combine_chunks()
-    dim = len(column.flatten()) // len(column)
-    graph = CentroidGraph(balanced_centroids(_matrix(column, dim), int(min(CENTROIDS_MOST, max(1, n // LIST)))))
+    sample = fair.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(2 * SAMPLE).toArrow()
+    if not sample.num_rows:
+        sample = fair.limit(SAMPLE).toArrow()
+    x = _matrix(sample.column(0).combine_chunks(), dim) if sample.num_rows else np.zeros((1, dim))
+    graph = CentroidGraph(balanced_centroids(x, int(min(CENTROIDS_MOST, max(1, n // LIST)))))
     shared = spark.sparkContext.broadcast(graph)
 
     schema = f"ids array<long>, embedding {kind}, lists array<int>"
     members = materialize(distinct.select("ids", "embedding").mapInArrow(_assign_map(shared, dim, REPLICAS, BOUNDARY, 32), schema), "members").select("ids", "embedding", F.explode("lists").alias("list"))
     chunks = members.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # one row for each centroid
     members = members.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("embedding"), F.col("chunks")).cast("int")).select("list", "chunk", "ids", "embedding")
-    asked = queries.mapInArrow(_probe_map(shared, dim, PROBE), f"query_id long, embedding {kind}, lists array<int>").select("query_id", "embedding", F.posexplode("lists").alias("place", "list"))
-    asked = asked.join(F.broadcast(chunks), "list").select("list", "place", "query_id", "embedding", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    probes = materialize(queries.mapInArrow(_probe_map(shared, dim, PROBE), f"query_id long, embedding {kind}, lists array<int>"), "probes")
+    asked = probes.select("query_id", "embedding", F.posexplode("lists").alias("place", "list")).withColumn("bound", F.lit(float("inf")))
+    endless = F.lit(float("inf"))
 
     def search(wanted: DataFrame, *known: DataFrame) -> DataFrame:
-        near = wanted.groupBy("list", "chunk").cogroup(members.groupBy("list", "chunk")).applyInArrow(lambda key, a, b: _near(key, a, b, k), "query_id long, vec_id long, score double")
+        """The k nearest among ``known`` and what the lists of ``wanted`` (query_id, embedding, list, bound) hold."""
+        parts = F.broadcast(wanted.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))  # one row for each centroid
+        left = wanted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        left = left.join(F.broadcast(chunks), "list").select("list", "part", "query_id", "embedding", "bound", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        right = members.join(parts, "list").select("list", "chunk", "ids", "embedding", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        on = ["list", "chunk", "part"]
+        near = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(lambda key, a, b: _near(key, a, b, k), "query_id long, vec_id long, score double")
         best = reduce(DataFrame.union, known, near).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = materialize(search(asked.where(F.col("place") < FIRST)), "found")
+    found = materialize(search(asked.where(F.col("place") <= FIRST)), "found")
     if len(graph.c) > FIRST:
         kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        rest = asked.where(F.col("place") >= FIRST).join(kth, "query_id", "left").withColumn("bound", F.coalesce("kth", "bound"))
+        rest = asked.where(F.col("place") > FIRST).join(kth, "query_id", "left").withColumn("bound", F.coalesce("kth", endless))
         found = materialize(search(rest, found.select("query_id", "vec_id", "score")), "found")
     short = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     missing = materialize(queries.join(short, "query_id", "left_anti"), "short")
     if missing.isEmpty() or n * (k + 1) <= 1:
         return found
-    # every list of every chunk for these few; the lists are the partitions of the table
-    lists = chunks.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    wide = missing.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(len(graph.c) - 1))).alias("list"), F.lit(float("inf")).alias("bound")).join(F.broadcast(lists), "list")
+    # every list for these few
+    wide = missing.select("query_id", "embedding", F.explode(F.sequence(F.lit(OWN_LIST), F.lit(len(graph.c) - 1))).alias("list"), endless.alias("bound"))
     return found.join(missing, "query_id", "left_anti").union(search(wide))

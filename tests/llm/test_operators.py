@@ -284,6 +284,59 @@ def test_nearest_lengths(spark):
     assert got[0, 1][0] == 100 and abs(got[0, 1][1] - 1e-9) < 1e-14 and got[400, 2] == (600, 2.0)
 
 
+def test_nearest_clusters(spark):
+    """Clustered vectors: recall 0.9 or more while fewer than half of the lists are read."""
+    import types
+
+    import pyarrow as pa
+
+    from millrace.llm import ann
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 16)) * 4
+    x = (centres[rng.integers(0, 150, 20_000)] + rng.normal(size=(20_000, 16)) * 0.7).astype(np.float32)
+    got = collections.defaultdict(set)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for r in ann.nearest(df, every=400).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit, asked = 0, list(range(0, 20_000, 400))
+    for q in asked:
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
+    graph = ann.CentroidGraph(ann.balanced_centroids(x.astype(float), len(x) // ann.LIST))
+    batch = pa.RecordBatch.from_arrays([pa.array(asked), pa.array([x[q].tolist() for q in asked], pa.list_(pa.float32()))], names=["query_id", "embedding"])
+    read = [len(r) - 1 for b in ann._probe_map(types.SimpleNamespace(value=graph), 16, ann.PROBE)(iter([batch])) for r in b.column(2).to_pylist()]
+    assert len(graph.c) > 60 and np.mean(read) < 0.5 * len(graph.c)
+
+
+def test_nearest_odd_rows(spark, monkeypatch):
+    """Very large and infinite components, null and repeated ids; lists and queries cut into small parts."""
+    from millrace.llm import ann
+
+    monkeypatch.setattr(ann, "CHUNK", 7)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(60)] + [(0, [9.0, 9.0, 9.0]), (60, [1e200, 0.0, 0.0]), (61, [1e200, 1e199, 0.0]), (62, [float("inf"), 0.0, 0.0]), (None, [0.0, 0.0, 1.0]), (63, [None, 1.0, 1.0])]
+    good = [(i, np.array(v)) for i, v in rows if i is not None and i not in (62, 63)]
+    want = {}
+    for q in range(0, 62, 5):
+        # an id that repeats asks with each of its vectors, and its own rows are no candidates
+        best = {}
+        for v in [v for i, v in good if i == q]:
+            for i, u in good:
+                if i != q:
+                    best[i] = min(best.get(i, np.inf), float(ann._norms((u - v)[None])[0]))
+        want[q] = sorted((s, i) for i, s in best.items())[:10]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert got.keys() == want.keys()
+    for q, best in want.items():
+        assert [i for _, i in got[q]] == [i for _, i in best] and np.allclose([s for s, _ in got[q]], [s for s, _ in best], rtol=1e-12)
+
+
 def edit_distance(a, b):
     """Least distance of a to a stretch of b."""
     row = [0] * (len(b) + 1)
