@@ -14,9 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import archive_pages, read_captures
+    from .warc import archive_pages, read_captures, url_key
 
-    return read_captures(spark, archive_pages(_read(spark, sf_dir, "pages"), least=0))
+    pages = _read(spark, sf_dir, "pages")
+    return read_captures(spark, archive_pages(pages, least=0), pages.select(url_key(pages["url"])))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Records are written by Spark's text writer (each row a record, the line separator its closing
 blank lines), so archives can stand in any store that Spark writes to.  The index has a line for
 each capture, sorted by reversed-host URL key, in gzip blocks of BLOCK_LINES lines; a sparse
-directory keeps the first key, place and size of each block.  A lookup searches the directory, reads
-that block's range, searches its lines, and reads the record's range.
+directory keeps the first key, place and size of each block.  A lookup finds its parts of the index by
+their first keys and its blocks by binary search in their directory, reads the blocks' ranges, searches
+their lines, and reads the records' ranges.  All of this runs on the executors, for any number of keys.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,18 +27,26 @@ from .storage import bounded_batches, materialize, new_folder
 ARCHIVE_BYTES = 8 << 20  # about so many bytes of payload in an archive; a task holds a few archives
 BROADCAST_ROWS = 500_000  # repeated payloads, or captures to read back; beyond it these joins shuffle
 BLOCK_LINES = 3000
+STRETCH = 32 << 20  # bytes of an archive whose records one task reads
 DATE = "1970-01-01T00:00:00Z"  # pages have no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC format
 
 
+def one_line(url: Column) -> Column:
+    """A URL as it stands in a record: null is empty, spaces and line ends are escaped."""
+    out = F.coalesce(url.cast("string"), F.lit(""))
+    for c in " \r\n":
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
+
+
 def url_key(url: Column) -> Column:
     """Reversed-host key: ``http://a.b.com:80/x?y#z`` gives ``com,b,a)/x?y``; null and other texts stand for themselves."""
-    url = F.coalesce(url, F.lit(""))
+    url = one_line(url)
     at = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)(?::[0-9]*)?([^#]*)"
     host, rest = F.lower(F.regexp_extract(url, at, 1)), F.regexp_extract(url, at, 2)
     rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    key = F.when(url.rlike(at), F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)).otherwise(url)
-    return F.regexp_replace(F.regexp_replace(key, " ", "%20"), r"[\r\n]", "%0A")
+    return F.when(url.rlike(at), F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)).otherwise(url)
 
 
 def base32_sha1(data: Column) -> Column:
@@ -72,7 +82,7 @@ def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
 def _record_head() -> Column:
     """The text of a record up to its payload."""
     revisit = F.col("refers_to").isNotNull()
-    uri = F.regexp_replace(F.regexp_replace("url", r"\r", "%0D"), r"\n", "%0A")
+    uri = one_line(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     h = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url", "digest"))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
@@ -95,84 +105,148 @@ def write_archives(rows: DataFrame, mean: int, folder: str) -> None:
     rows.select(F.concat(_record_head(), body).alias("value")).write.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // max(1, mean))).option("lineSep", "\r\n\r\n").text(f"{folder}/archives")
 
 
+def _opened(uri: str):
+    """A file of the shared folder for reading at any place; stores other than file: are opened through pyarrow."""
+    if uri.startswith("file:") or uri.startswith("/"):
+        return open("/" + uri.removeprefix("file:").lstrip("/"), "rb", buffering=1 << 18)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _read_range(f, start: int, length: int) -> bytes:
+    f.seek(start)
+    data = f.read(length)
+    if len(data) != length:
+        raise ValueError(f"a range of {length} bytes at {start} that the file doesn't hold")
+    return data
+
+
 def _scan_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(archive, content) to a row for each record, found by walking from header to header."""
+    """(path, length) of archives to a row for each record, found by walking from header to header: payloads are skipped."""
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
     for batch in batches:
-        for k in range(batch.num_rows):
-            data, name, at, rows = memoryview(batch.column(1)[k].as_buffer()), batch.column(0)[k].as_py(), 0, []
-            while at < len(data):
-                size = 1 << 12
-                while (end := bytes(data[at : at + size]).find(b"\r\n\r\n")) < 0:
-                    size *= 4
-                fields = header_fields(bytes(data[at : at + end]))
-                length = end + 4 + int(fields["content-length"]) + 4
-                page = fields.get("page-id")
-                rows.append((fields.get("warc-target-uri", ""), int(page) if page else None, fields["warc-payload-digest"].removeprefix("sha1:"), at, length))
-                at += length
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        for path, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, at, name = [], 0, path.rsplit("/", 1)[1]
+            with _opened(path) as f:
+                while at < whole:
+                    size = 1 << 10
+                    while (end := (head := _read_range(f, at, min(size, whole - at))).find(b"\r\n\r\n")) < 0:
+                        size *= 4
+                    fields = header_fields(head[:end])
+                    length = end + 4 + int(fields["content-length"]) + 4
+                    page = fields.get("page-id")
+                    rows.append((fields.get("warc-target-uri", ""), int(page) if page else None, fields["warc-payload-digest"].removeprefix("sha1:"), at, length))
+                    at += length
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]], names=["archive", "url", "page_id", "digest", "start", "length"])
 
 
 def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The captures in the archives: key, page_id, digest, archive, start, length."""
-    files = _files(spark, f"{folder}/archives").select("name", "content")
+    files = spark.read.format("binaryFile").load(f"{folder}/archives").where("length > 0").select("path", "length")
     return files.mapInArrow(_scan_map, "archive string, url string, page_id long, digest string, start long, length long").withColumn("key", url_key(F.col("url"))).drop("url")
 
 
-def _block_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted captures of one partition to gzip blocks; the last size byte of a block is the writer's separator."""
-    from pyspark import TaskContext
-
-    part, seq, at, lines, first = TaskContext.get().partitionId(), 0, 0, [], None
+def _block_map(folder: str):
+    """Sorted captures of a partition to a file of gzip blocks, and a row for each block.
 
-    def block() -> pa.RecordBatch:
-        nonlocal seq, at, lines, first
-        data = gzip.compress("".join(lines).encode("utf-8"), 6, mtime=0)
-        if data[-1]:  # 16 MiB of lines or more: an empty member more ends in a zero
-            data += gzip.compress(b"", mtime=0)
-        row = [part, seq, at, len(data), first, len(lines), data[:-1]]
-        seq, at, lines, first = seq + 1, at + len(data), [], None
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.int64()), pa.array([row[3]], pa.int64()), pa.array([row[4]], pa.string()), pa.array([row[5]], pa.int64()), pa.array([row[6]], pa.binary())], names=["part", "seq", "start", "length", "first_key", "lines", "data"])
+    The file's name is its task attempt's own; only files named in the rows of attempts that Spark
+    commits are part of the index.
+    """
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            first = r["key"] if first is None else first
-            lines.append(f"{r['key']} {DATE} " + json.dumps({"page_id": r["page_id"], "digest": r["digest"], "archive": r["archive"], "start": r["start"], "length": r["length"]}) + "\n")
-            if len(lines) == BLOCK_LINES:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        name, at, lines, first = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.gz", 0, [], None
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        store, path = fs.FileSystem.from_uri(f"{folder}/index")
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{name}", compression=None) as f:
+
+            def block() -> pa.RecordBatch:
+                nonlocal at, lines, first
+                data = gzip.compress("".join(lines).encode("utf-8"), 6, mtime=0)
+                f.write(data)
+                row = [name, at, len(data), first, len(lines)]
+                at, lines, first = at + len(data), [], None
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["file", "start", "length", "first_key", "lines"])
+
+            for batch in batches:
+                for r in batch.to_pylist():
+                    first = r["key"] if first is None else first
+                    lines.append(f"{r['key']} {DATE} " + json.dumps({"page_id": r["page_id"], "digest": r["digest"], "archive": r["archive"], "start": r["start"], "length": r["length"]}) + "\n")
+                    if len(lines) == BLOCK_LINES:
+                        yield block()
+            if lines:
                 yield block()
-    if lines:
-        yield block()
+
+    return run
 
 
 def write_index(captures: DataFrame, folder: str) -> None:
     """Sorted, blocked and compressed index below ``folder``/index, and its sparse directory below ``folder``/directory."""
     rows = captures.repartitionByRange("key", "page_id", "archive", "start").sortWithinPartitions("key", "page_id", "archive", "start")
-    blocks = materialize(rows.mapInArrow(_block_map, "part int, seq int, start long, length long, first_key string, lines long, data binary"), "blocks")
-    blocks.repartition("part").sortWithinPartitions("part", "seq").select("part", F.col("data").cast("string").alias("value")).write.partitionBy("part").option("lineSep", "\u0000").text(f"{folder}/index")
-    blocks.drop("data").write.parquet(f"{folder}/directory")
+    rows.mapInArrow(_block_map(folder), "file string, start long, length long, first_key string, lines long").write.parquet(f"{folder}/directory")
 
 
-def _files(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder's name, name, content) of the files below a folder."""
-    path = F.col("path")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0").select(F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("within"), F.regexp_extract(path, "[^/]+$", 0).alias("name"), "content")
+def _part_map(tops: list[tuple[str, str]]):
+    """key to (file, key): the parts of the index that may hold it.  ``tops`` are their first keys in order, one for each task that wrote."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [k for k, _ in tops]
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                a, z = bisect.bisect_left(firsts, key) - 1, bisect.bisect_right(firsts, key)
+                out += [(tops[x][1], key) for x in range(max(0, a), z)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["file", "key"])
 
-def _with_ranges(files: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Each file's content with its (start, length) ranges in order; a file's ranges are bounded by its size."""
-    wanted = materialize(ranges.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("ranges")), "ranges")
-    if wanted.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return files.join(wanted, files[key] == wanted["__key"]).select("ranges", "content")
+    return run
 
 
-def _entry_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            data = batch.column(1)[k].as_buffer()
-            for r in batch.column(0)[k].as_py():
-                rows = [json.loads(x.split(" ", 2)[2]) for x in gzip.decompress(data.slice(r["start"], r["length"])).decode("utf-8").split("\n")[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.string() if n == "archive" else pa.int64()) for n in ("archive", "start", "length")], names=["archive", "start", "length"])
+def _blocks_of(name: tuple, keys: pa.Table, directory: pa.Table) -> pa.Table:
+    """The blocks of one part that may hold each key, by binary search in the part's directory."""
+    rows = sorted(directory.select(["first_key", "start", "length"]).to_pylist(), key=lambda r: r["start"])
+    firsts, out = [r["first_key"] for r in rows], []
+    for key in keys.column("key").to_pylist():
+        a, z = bisect.bisect_left(firsts, key) - 1, bisect.bisect_right(firsts, key)
+        out += [(rows[x]["start"], rows[x]["length"], key) for x in range(max(0, a), z)]
+    columns = [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+    return pa.table([pa.array([directory.column("file")[0].as_py() if out else None] * len(out), pa.string()), *columns], names=["file", "start", "length", "key"])
+
+
+def _line_map(folder: str):
+    """(file, start, length, keys) of blocks to the captures of the keys, by binary search in the lines of the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("archive", "start", "length")
+        for batch in batches:
+            for r in batch.to_pylist():
+                with _opened(f"{folder}/index/{r['file']}") as f:
+                    lines = gzip.decompress(_read_range(f, r["start"], r["length"])).decode("utf-8").split("\n")[:-1]
+                own, rows = [x.split(" ", 1)[0] for x in lines], []
+                for key in r["keys"]:
+                    found = [json.loads(x.split(" ", 2)[2]) for x in lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]]
+                    rows += [(key, *[x[n] for n in names]) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", *names])
+
+    return run
+
+
+def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """(key, archive, start, length) of every capture whose URL key is in ``keys`` (one column; repeated ones count once).
+
+    A key with very many captures has many blocks, each read by the task of that block.  The driver
+    holds the first key of each part of the index, as many as tasks wrote it.
+    """
+    directory = spark.read.parquet(f"{folder}/directory")
+    tops = sorted((r["k"], r["file"]) for r in directory.groupBy("file").agg(F.min("first_key").alias("k")).collect())
+    asked = keys.toDF("key").where("key is not null").distinct().mapInArrow(_part_map(tops), "file string, key string")
+    blocks = asked.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(_blocks_of, "file string, start long, length long, key string")
+    listed = blocks.groupBy("file", "start", "length").agg(F.collect_list("key").alias("keys"))
+    return listed.mapInArrow(_line_map(folder), "key string, archive string, start long, length long")
 
 
 def header_fields(head: bytes) -> dict[str, str]:
@@ -180,7 +254,7 @@ def header_fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
+    return {n.strip().lower(): v.strip(" ") for n, _, v in (x.partition(":") for x in lines[1:])}
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -208,26 +282,57 @@ def _capture_of(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     return int(page) if page else None, size, digest, kind, int(refers) if refers else None
 
 
-def _record_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
-        for k in range(batch.num_rows):
-            data = batch.column(1)[k].as_buffer()
-            rows = [_capture_of(data.slice(r["start"], r["length"]).to_pybytes()) for r in batch.column(0)[k].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+def _fetch_map(folder: str, told):
+    """(archive, start, length) in order to what ``told`` gives of the records, one batch for some MiB."""
+    names, kinds, row_of = told
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, rows, held = None, None, [], 0
+        try:
+            for batch in batches:
+                for archive, start, length in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                    if archive != name:
+                        if f is not None:
+                            f.close()
+                        name, f = archive, _opened(f"{folder}/archives/{archive}")
+                    rows.append(row_of(_read_range(f, start, length)))
+                    held += length
+                    if held > 4 << 20:
+                        yield table(rows)
+                        rows, held = [], 0
+            yield table(rows)
+        finally:
+            if f is not None:
+                f.close()
+
+    return run
+
+
+_CAPTURE = (["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], _capture_of)
 
 
-def read_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """Every capture in the index, read from its record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def fetch(spark: SparkSession, folder: str, captures: DataFrame, told, schema: str) -> DataFrame:
+    """Records of ``captures`` (archive, start, length), read by their ranges; tasks take stretches of archives."""
+    rows = captures.select("archive", "start", "length").repartition("archive", F.floor(F.col("start") / STRETCH)).sortWithinPartitions("archive", "start")
+    return rows.mapInArrow(_fetch_map(folder, told), schema)
 
-    Both levels are followed: directory to index blocks, index lines to record ranges.  A response's
-    payload is held against its digest.
+
+def read_captures(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """Every capture of the URL ``keys``, read from its record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A response's payload is held against its digest.
     """
-    bounded_batches(spark)
-    directory = spark.read.parquet(f"{folder}/directory").withColumn("within", F.concat(F.lit("part="), F.col("part")))
-    blocks = _with_ranges(_files(spark, f"{folder}/index"), directory, "within")
-    entries = blocks.mapInArrow(_entry_map, "archive string, start long, length long").withColumnRenamed("archive", "name")
-    return _with_ranges(_files(spark, f"{folder}/archives"), entries, "name").mapInArrow(_record_map, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return fetch(spark, folder, lookup(spark, folder, keys), _CAPTURE, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def read_records(spark: SparkSession, folder: str, urls: list[str]) -> list[tuple[dict[str, str], bytes]]:
+    """Header fields and blocks of the records of some URLs."""
+    keys = spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")))
+    rows = fetch(spark, folder, lookup(spark, folder, keys), (["data"], [pa.binary()], lambda data: (data,)), "data binary")
+    return [parse_record(bytes(r["data"])) for r in rows.collect()]
 
 
 def archive_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> str:
@@ -242,48 +347,3 @@ def archive_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     write_archives(*records(pages, least, id_col, url_col, body_col), folder)
     write_index(materialize(scan_archives(spark, folder), "captures"), folder)
     return folder
-
-
-class CaptureIndex:
-    """Point lookups on the driver.  Only the sparse directory is held: one row for BLOCK_LINES captures."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        rows = spark.read.parquet(f"{folder}/directory").orderBy("part", "seq").collect()
-        self.rows, self.keys = rows, [r["first_key"] for r in rows]
-        self._paths: dict[str, str] = {}
-
-    def _range(self, below: str, start: int, length: int) -> bytes:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        if below not in self._paths:
-            d = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}")
-            whole = d.getFileSystem(conf).getFileStatus(d)
-            files = [whole.getPath()] if whole.isFile() else [f.getPath() for f in d.getFileSystem(conf).listStatus(d) if f.getPath().getName().startswith("part-")]
-            self._paths[below] = files[0]
-        path = self._paths[below]
-        stream = path.getFileSystem(conf).open(path)
-        try:
-            stream.seek(start)
-            return bytes(stream.readNBytes(length))
-        finally:
-            stream.close()
-
-    def lines(self, key: str) -> list[dict]:
-        """Index lines of a key."""
-        at, out = max(0, bisect.bisect_left(self.keys, key) - 1), []
-        while at < len(self.rows) and self.keys[at] <= key:
-            r = self.rows[at]
-            lines = gzip.decompress(self._range(f"index/part={r['part']}", r["start"], r["length"])).decode("utf-8").split("\n")[:-1]
-            k = bisect.bisect_left(lines, key + " ")
-            while k < len(lines) and lines[k].startswith(key + " "):
-                out.append(json.loads(lines[k].split(" ", 2)[2]))
-                k += 1
-            if k < len(lines):
-                break
-            at += 1
-        return out
-
-    def fetch(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """The records of a URL: header fields and block."""
-        key = self.spark.range(1).select(url_key(F.lit(url)).alias("k")).first()["k"]
-        return [parse_record(self._range(f"archives/{x['archive']}", x["start"], x["length"])) for x in self.lines(key)]

@@ -230,10 +230,28 @@ def test_warc(spark):
         b = (h or "").encode()
         again = i != last[h or ""]
         want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", last[h or ""] if again else None] += 1
-    assert collections.Counter(tuple(r) for r in warc.read_captures(spark, folder).collect()) == want
-    index = warc.CaptureIndex(spark, folder)
-    assert len(index.fetch("http://q")) == 3 and index.fetch("http://none") == []
-    assert index.fetch("http://A.B.com:80/x?y")[0][1].endswith(b"<p>")
+    assert collections.Counter(tuple(r) for r in warc.read_captures(spark, folder, pages.select(warc.url_key(pages["url"]))).collect()) == want
+    assert len(warc.read_records(spark, folder, ["http://q"])) == 3 and warc.read_records(spark, folder, ["http://none"]) == []
+    assert warc.read_records(spark, folder, ["http://A.B.com:80/x?y"])[0][1].endswith(b"<p>")
+    empty = pages.limit(0)
+    assert warc.read_captures(spark, warc.archive_pages(empty), empty.select(warc.url_key(empty["url"]))).count() == 0
+
+
+def test_warc_blocks(spark, monkeypatch):
+    """Small blocks: keys over many blocks and parts, keys between blocks, and one hot key."""
+    from millrace.llm import warc
+
+    monkeypatch.setattr(warc, "STRETCH", 500)
+    rng, rows = random.Random(6), []
+    for k in range(700):
+        rows.append((k, "http://hot.org/" if k % 3 == 0 else f"http://h{rng.randrange(90)}.org/{rng.choice(['', 'a', 'a\t', 'a!', 'b c'])}", f"<p>{k}" * rng.randrange(1, 9)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = warc.archive_pages(pages)
+    assert spark.read.parquet(f"{folder}/directory").agg({"lines": "sum"}).first()[0] == 700
+    own = {r["k"]: r["n"] for r in pages.groupBy(warc.url_key(pages["url"]).alias("k")).count().withColumnRenamed("count", "n").collect()}
+    got = warc.lookup(spark, folder, spark.createDataFrame([(k,) for k in [*own, "", "zzz", "org,h0)/none"]], "key string")).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in got} == own
+    assert warc.read_captures(spark, folder, pages.select(warc.url_key(pages["url"]))).count() == 700
 
 
 def test_nearest(spark):
