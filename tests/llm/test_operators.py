@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from plain import best_occurrence, covered, levenshtein, near_groups, repeated_runs, without_runs, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, key string, cls string, label int"
 
@@ -39,10 +40,6 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or ""), "x", "y", "z", 1) for k, (i, t) in enumerate(texts)], DOCS)
 
 
-def words_of(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-
 def test_jaccard(docs, texts):
     from millrace.llm.near_duplicates import jaccard_components, keep_one
 
@@ -462,6 +459,267 @@ def test_scores(spark):
     assert [trie.match(w) for w in ("stupid", "stupd", "stpd", "vequanza", "veque", "veq", "worhtless", "clean")] == [(0, 0), (1, 0), None, (0, 1), (0, 1), None, (2, 2), None]
 
 
+def test_decontaminate_best(spark):
+    """Distance and place of the best occurrence, also of periodic items; a benchmark in parts; empty tables and repeats."""
+    from millrace.llm import decontaminate as dc
+
+    rng, items, texts = random.Random(14), [], []
+    for k in range(14):
+        part = [f"v{rng.randrange(30)}" for _ in range(rng.randrange(3, 9))]
+        items.append(" ".join(part * 3 if k % 2 else part + [f"u{rng.randrange(9)}" for _ in range(8)]))
+    for k in range(30):
+        w = items[k % 14].split()
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = "other"
+        if k % 3 == 0:
+            del w[rng.randrange(len(w))]
+        texts.append(" ".join([*(rng.choice(items).split() if k % 4 == 0 else ["x"] * rng.randrange(9)), *w, *["y"] * rng.randrange(5), *(items[k % 14].split() if k % 5 == 0 else [])]))
+    texts += [None, "", texts[0]]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([*[(k, t, 2) for k, t in enumerate(items)], (0, items[0], 2), (50, None, 2), (51, "", 2)], "item_id long, text string, doc_id int")
+    want = {}
+    for d, t in enumerate(texts):
+        for k, u in enumerate(items):
+            best, spans = best_occurrence(u, t)
+            if best <= len(u.split()) // 5:
+                want[d, k] = best, spans
+    got = dc.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+    for r in got:
+        best, spans = want[r["doc_id"], r["item_id"]]
+        assert r["distance"] == best and (r["first_word"], r["end_word"]) in spans
+    most = dc.MOST_ITEM_BYTES
+    try:
+        dc.MOST_ITEM_BYTES = 200
+        assert sorted(map(tuple, dc.contamination(docs, bench).collect())) == sorted(map(tuple, got))
+        assert {r["doc_id"] for r in dc.remove_contaminated(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    finally:
+        dc.MOST_ITEM_BYTES = most
+    assert dc.contamination(docs, bench.limit(0)).count() == 0 and dc.contamination(docs.limit(0), bench).count() == 0
+    assert dc.remove_contaminated(docs, bench.limit(0)).count() == len(texts)
+
+
+def passages(rng, n, vocabulary=60):
+    """Texts with shared passages of many lengths, parts and edits of them, and whole copies."""
+    made = [[f"p{k}x{rng.randrange(vocabulary)}" for _ in range(rng.randrange(15, 90))] for k in range(8)]
+    out = []
+    for k in range(n):
+        w = [f"o{k}n{j}" for j in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 4)):
+            p = rng.choice(made)
+            a = rng.choice([0, rng.randrange(len(p))])
+            part = p[a : rng.choice([len(p), rng.randrange(a, len(p)) + 1])]
+            w += [*part, *[f"o{k}m{rng.randrange(9)}" for _ in range(rng.randrange(0, 5))]]
+        out.append(rng.choice([" ", "\n", "  "]).join(w))
+    return out + [out[1], " ".join(words_of(out[2])[:12]), " ".join(words_of(out[2])[:12]), "", None, "a b c", "A b  C"]
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_line_dedup_brute_force(spark, monkeypatch, hot):
+    """The texts left are those of a plain version; what any 29 words show goes but for ends, and only what 20 words show."""
+    from millrace.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "HOT_LEAST", hot)
+    monkeypatch.setattr(ld, "HOT_MOST", 10**9)
+    monkeypatch.setattr(ld, "HOT_SAMPLE", 1.0)
+    if hot == 2:
+        monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ld, "END_MOST", 10**9)
+    texts = passages(random.Random(21), 90)
+    runs = repeated_runs(texts)
+    rows = [(k, t, "x", 7) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, key string, deleted_words int")
+    got = ld.delete_repeated_lines(docs, counts="gone").collect()
+    left = {r["doc_id"]: (r["text"], r["gone"], r["deleted_words"]) for r in got}
+    assert len(got) == len(texts) + 1
+    assert left == {k: (without_runs(t, runs[k]), sum(b - a for a, b in runs[k]), 7) for k, t in enumerate(texts)}
+    gone = {(d, x) for d, own in enumerate(runs) for a, b in own for x in range(a, b) if b - a >= 20}
+    sure, can = covered(texts, ld.GRAM + ld.WINDOW - 1), covered(texts, 20)
+    assert gone <= can and len(sure - gone) <= 0.1 * len(sure) and len(sure) > 500
+    assert ld.delete_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_long_text(spark):
+    from millrace.llm.line_dedup import delete_repeated_lines
+
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(600_000))
+    passage = " ".join(long.split()[300_000:300_060])
+    out = {r[0]: r[1] for r in delete_repeated_lines(spark.createDataFrame([(0, long), (1, "begin " + passage + " end")], "doc_id long, text string")).collect()}
+    assert out[0] == long and out[1] == "begin end"
+
+
+def test_quality_model():
+    """The gradient agrees with differences, scores with a plain forward pass, features with plain counts."""
+    import math
+
+    import pyarrow as pa
+
+    from millrace.llm import quality as q
+    from millrace.llm.words import Words, text_buffer
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "x1", "!!", "gamma,", "gamma,"]) for _ in range(rng.randrange(1, 200))) for _ in range(12)] + ["", " "]
+    data, offs = text_buffer(pa.array(texts))
+    x, bounds = q.encode_passages(Words(data, offs, 0, len(texts)), data)
+    assert np.diff(bounds).tolist() == [-(-len(t.split()) // q.PASSAGE) for t in texts]
+    for d, t in enumerate(texts):
+        w = words_of(t)
+        for k in range(int(bounds[d]), int(bounds[d + 1])):
+            own = w[(k - bounds[d]) * q.PASSAGE : (k - bounds[d] + 1) * q.PASSAGE]
+            top = max(own.count(v) for v in own)
+            again = sum(a == b for a, b in zip(own, own[1:], strict=False))
+            assert np.allclose(x[k, 8:14], [np.mean([len(v) for v in own]), np.std([len(v) for v in own]), len(set(own)) / len(own), top / len(own), again / len(own), math.log1p(len(own))], atol=1e-3)
+    y = np.array([k % 2 for k in range(12)], float)
+    bag = np.repeat(np.arange(12), np.diff(bounds)[:12])
+    model = q.AttentionMIL()
+    model.scale = q.Scale(x.astype(float))
+    z = model.scale(x[: len(bag)].astype(float))
+
+    def plain(w, d):
+        h = z[bag == d]
+        e = [float((np.tanh(r @ w["V"]) / (1 + np.exp(-(r @ w["U"])))) @ w["a"]) for r in h]
+        share = [math.exp(v) / sum(math.exp(u) for u in e) for v in e]
+        rep = sum(s * np.tanh(r @ w["H"] + w["h"]) for s, r in zip(share, h, strict=True))
+        return 1 / (1 + math.exp(-float(rep @ w["c"] + w["b"][0])))
+
+    assert np.allclose(model.score(x, bounds)[:12], [plain(model.w, d) for d in range(12)])
+    assert np.allclose(model.score(x, bounds)[12:], 0.5)
+
+    def loss():
+        p = np.array([plain(model.w, d) for d in range(12)])
+        return -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    told = {}
+
+    class Tell:
+        def __init__(self, *_):
+            pass
+
+        def step(self, grad):
+            told.update(grad)
+
+    keep, q.Adam = q.Adam, Tell
+    try:
+        model.fit(x[: len(bag)], bag, y, rounds=1, decay=0.0)
+    finally:
+        q.Adam = keep
+    z = model.scale(x[: len(bag)].astype(float))
+    for name, w in model.w.items():
+        for at in rng.sample(range(w.size), min(4, w.size)):
+            here, step = w.flat[at], 1e-5
+            w.flat[at] = here + step
+            up = loss()
+            w.flat[at] = here - step
+            down = loss()
+            w.flat[at] = here
+            assert abs((up - down) / (2 * step) - told[name].flat[at]) < 1e-6
+
+
+def test_fuzzy_trie(monkeypatch):
+    """Matches are those of the edit distance to each term, also when states are forgotten."""
+    from millrace.llm import toxicity as tx
+
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(4, 12))) + ("*" if rng.random() < 0.3 else "") for _ in range(40)})
+    words = []
+    for _ in range(1500):
+        w = list(rng.choice(terms).rstrip("*") + "".join(rng.choice("abc") for _ in range(rng.choice([0, 0, 3]))))
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(["", "a", "b", "ab", "d"])
+        words.append("".join(w) or "a")
+
+    def plain(word):
+        found = []
+        for k, t in enumerate(terms):
+            own = t.rstrip("*")
+            e = min(levenshtein(own, word[:n]) for n in range(len(word) + 1)) if t.endswith("*") else levenshtein(own, word)
+            found += [(e, k)] if e <= tx.allowed(t) else []
+        return min(found, default=None)
+
+    want = list(map(plain, words))
+    assert sum(x is not None for x in want) > 300
+    trie = tx.FuzzyTrie(terms)
+    assert list(map(trie.match, words)) == want
+    monkeypatch.setattr(tx, "STEPS_MOST", 50)
+    trie = tx.FuzzyTrie(terms)
+    assert list(map(trie.match, words)) == want and trie.kept < 100
+
+
+def test_scores_whatever_the_partitioning(spark):
+    """Equal scores for 2 and 7 partitions; labels of one kind, none, and repeated rows."""
+    from millrace.llm.quality import quality_scores
+    from millrace.llm.toxicity import toxicity_scores
+
+    rng = random.Random(15)
+    near = [rng.choice(["red", "blue", "green", "cold", "warm"]) for _ in range(60)]
+    rows = [(k, " ".join([*near[: rng.randrange(30, 60)], *(["zzwretch"] * (k % 2)), *[f"n{rng.randrange(40)}" for _ in range(9)]])) for k in range(160)]
+    docs = spark.createDataFrame([*rows, rows[0], (500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), k % 2) for k in range(160)], "doc_id long, quality int, toxic int")
+    for f in (toxicity_scores, quality_scores):
+        a, b = (sorted((r["doc_id"], r["score"]) for r in f(docs.repartition(n), labels.repartition(n)).collect()) for n in (2, 7))
+        assert [i for i, _ in a] == [i for i, _ in b] and len(a) == 162
+        assert np.allclose([x for _, x in a], [x for _, x in b], rtol=0, atol=1e-12)  # products of matrices of other heights round otherwise
+        for few in (labels.where("quality = 1 and toxic = 0"), labels.limit(0)):
+            assert all(0 <= r["score"] <= 1 for r in f(docs, few).collect())
+
+
+def test_quotation():
+    import pyarrow as pa
+
+    from millrace.llm.toxicity import Lexicon
+    from millrace.llm.words import Words, text_buffer
+
+    texts = ["you are an idiot", 'they cried "you idiot there" and left', "the word idiot is rude", "an idiiot too"]
+    data, offs = text_buffer(pa.array(texts))
+    hits = Lexicon(["idiot"]).hits(Words(data, offs, 0, 4), data)
+    assert [[(e, q) for e, _, q in hits[d]] for d in range(4)] == [[(0, False)], [(0, True)], [(0, True)], [(1, False)]]
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """run() gives what plain versions of the stages give one after another; clashing columns, nulls, repeats and empty tables."""
+    import public_tokenizers as P
+    import tiktoken
+
+    import corpus_pipeline
+    from millrace.llm.bpe import load_ranks
+    from millrace.llm.quality import quality_scores
+
+    rng = random.Random(31)
+    texts = passages(rng, 40, 500)
+    near = [f"n{rng.randrange(900)}" for _ in range(150)]
+    texts += [" ".join([*near[:k], "changed", *near[k + 1 :]]) for k in (20, 21, 149)]
+    texts += ["!! $$ 0 ## !! " * 30 + str(k) for k in range(12)]
+    item = " ".join(f"i{rng.randrange(900)}" for _ in range(25))
+    texts += ["before " + item.replace(item.split()[3], "edited") + " after", "clean words " + " ".join(f"c{k}" for k in range(30))]
+    rows = [(k, t, "en", f"s{k % 3}", None if t is None else len(t), f"d{k}", "k") for k, t in enumerate(texts)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, deleted_words string, key string"
+    spark.createDataFrame([*rows, rows[5]], ddl).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(not (t or "").startswith("!!")), 0) for k, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {r["doc_id"] for r in quality_scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("score >= 0.3").collect()}
+    assert 40 < len(good) < len(texts)
+    ids = [k for k in range(len(texts)) if k in good]
+    runs = repeated_runs([texts[k] for k in ids])
+    now = {k: without_runs(texts[k], r) for k, r in zip(ids, runs, strict=True) if not r or words_of(without_runs(texts[k], r))}
+    stage = corpus_pipeline.STAGES[1][1](spark, docs.where(docs["doc_id"].isin(ids)), str(tmp_path))
+    assert stage.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"], r["deleted_words"]) for r in stage.collect()} == {k: (t, None if t is None else len(t), f"d{k}") for k, t in now.items()}
+    ids = list(now)
+    low = near_groups([now[k] for k in ids])
+    ids = [k for x, k in enumerate(ids) if low[x] == x]
+    ids = [k for k in ids if best_occurrence(item, now[k] or "")[0] > 5]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    want = {k: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for k, x in ((k, enc.encode_ordinary(now[k] or "")) for k in ids)}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == want and len(got) == len(want)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
