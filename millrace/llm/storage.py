@@ -13,10 +13,12 @@ _TIDY: list[bool] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all tasks run in this process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _OWN_ROOT[0]
@@ -33,10 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: later jobs read files that survive the loss of an executor, and an
     expensive or non-repeatable step (Python, range partitioning) runs once.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the folder, for those who drop it."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -213,6 +213,33 @@ def test_bpe_odd_characters():
     assert Tokenizer(path, P.PATTERN).encode_block(given) == [enc.encode_ordinary(t) for t in given]
 
 
+def test_bpe_all_code_points():
+    """Every code point of the planes in use, alone and beside letters, is split as by the tiktoken library."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from millrace.llm.bpe import Tokenizer, load_ranks
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    tok = Tokenizer(path, P.PATTERN)
+    for plane in (0, 1, 2, 3, 14, 15, 16):
+        own = [c for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c <= 0xDFFF]
+        given = [" ".join(f"a{chr(c)}b" for c in own[k : k + 2048]) for k in range(0, len(own), 2048)]
+        assert tok.encode_block(given) == [enc.encode_ordinary(t) for t in given], plane
+
+
+def test_bpe_long_text(spark):
+    import public_tokenizers as P
+
+    from millrace.llm import bpe
+
+    path, rng = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(1)
+    long = " ".join(rng.choice(["alpha", "été", "x1", "\n"]) for _ in range(700_000))
+    rows = {r["doc_id"]: r["decoded_sha256"] for r in bpe.token_digests(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string"), path, P.PATTERN).collect()}
+    assert len(long) > bpe.BLOCK_CHARS and rows == {1: hashlib.sha256(long.encode()).hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
 def test_warc(spark):
     from millrace.llm import warc
 
