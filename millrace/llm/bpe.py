@@ -87,7 +87,7 @@ class MergeReplay:
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         values, first = np.unique(rank[at], return_index=True)
-        index = {r: x.tolist() for r, x in zip(values.tolist(), np.split(at, first[1:]), strict=True)}  # pair's merge: its positions
+        index = {r: x.tolist() for r, x in zip(values.tolist(), np.split(at, first[1:]), strict=False)}  # pair's merge: its positions
         left = values.tolist()  # sorted, so a heap
         part = start.tolist()
         nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
