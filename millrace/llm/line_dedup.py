@@ -49,7 +49,10 @@ def winnow(g: np.ndarray) -> np.ndarray:
 
 
 def _prints(words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """First words and hashes of each document's fingerprints; one with fewer than GRAM words has one, of the whole."""
+    """Places and hashes of each document's fingerprints; one with fewer than GRAM words has one, of the whole.
+
+    A place is the first word << 8 | the words after the fingerprint, 255 at most.
+    """
     g, at, prints = long_grams(words.hash, GRAM), [], []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if 0 < b - a < GRAM:
@@ -57,8 +60,9 @@ def _prints(words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
             prints.append(mix(long_grams(words.hash[a:b], b - a) + np.uint64(b - a)))
             continue
         own = g[a : max(a, b - GRAM + 1)]
-        at.append(winnow(own))
-        prints.append(own[at[-1]])
+        first = winnow(own)
+        at.append(first << 8 | np.minimum(255, b - a - GRAM - first))
+        prints.append(own[first])
     return at, prints
 
 
@@ -67,7 +71,7 @@ def _print_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, words, _ in each_block(batch.column(2)):
             at, prints = _prints(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), list_column([x.astype(np.int32) for x in at], pa.int32()), list_column(prints, pa.int64())], names=["key", "doc_id", "at", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.n_docs), batch.column(1).slice(i, words.n_docs), list_column(at, pa.int64()), list_column(prints, pa.int64())], names=["key", "doc_id", "at", "prints"])
 
 
 def _word_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,26 +88,48 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
+END = 2  # a row that is a stretch itself, beside those of its begins (0) and ends (1)
+
+
 def _chain_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, places of (key0, pos, pos0)) to chains: stretches of words that places on one diagonal cover without a gap.
+    """(key, places of (key0, pos, pos0)) to rows (key, key0, at, side, begin, end).
 
-    Each chain is two rows (key, key0, at, side, begin, end): of its begin (side 0) and its end (1) in
-    the earlier document.
+    Places on one diagonal that cover words without a gap are a chain; chains that touch are a stretch,
+    a row of side 2.  The rows of side 0 and 1 are the begins and ends of chains that could extend
+    their stretch, with their place in the earlier document: none does where a text begins or ends.
     """
     for batch in batches:
         places = batch.column(1)
         row, parts = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy())), places.flatten()
-        key0, pos = parts.field("key0").to_numpy(), parts.field("pos").to_numpy().astype(np.int64)
-        shift = pos - parts.field("pos0").to_numpy()
+        key0, pos = parts.field("key0").to_numpy(), parts.field("pos").to_numpy()
+        pos, after = pos >> 8, pos & 255
+        shift = pos - (parts.field("pos0").to_numpy() >> 8)
         order = np.lexsort((pos, shift, key0, row))
-        row, key0, pos, shift = row[order], key0[order], pos[order], shift[order]
-        begins = np.ones(len(row), bool)
-        begins[1:] = (np.diff(row) != 0) | (key0[1:] != key0[:-1]) | (np.diff(shift) != 0) | (np.diff(pos) > GRAM)
-        a = np.flatnonzero(begins)
-        z = np.append(a[1:], len(row))[: len(a)] - 1
-        begin, end, at = pos[a], pos[z] + GRAM, shift[a]
-        for side, place in ((0, begin - at), (1, end - at)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[a])), pa.array(key0[a]), pa.array(place.astype(np.int32)), pa.array(np.full(len(a), side, np.int8)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["key", "key0", "at", "side", "begin", "end"])
+        row, key0, pos, shift, after = (x[order] for x in (row, key0, pos, shift, after))
+        a, z = _groups(len(row), (row[1:] != row[:-1]) | (key0[1:] != key0[:-1]) | (shift[1:] != shift[:-1]) | (np.diff(pos) > GRAM))
+        row, key0, shift, begin, end, after = row[a], key0[a], shift[a], pos[a], pos[z] + GRAM, after[z]
+        order = np.lexsort((begin, row))
+        row, key0, shift, begin, end, after = (x[order] for x in (row, key0, shift, begin, end, after))
+        apart = row << 40  # documents don't touch
+        upto = np.maximum.accumulate(apart + end) if len(end) else end
+        a, z = _groups(len(row), (apart + begin)[1:] > upto[:-1])
+        each = np.repeat(np.arange(len(a)), z - a + 1)
+        first, last = begin[a], upto[z] - apart[a]
+        open_end = np.minimum.reduceat(np.where(end == last[each], after, 255), a) > 0 if len(a) else np.zeros(0, bool)
+        left = (first[each] > 0) & (begin < first[each] + BESIDE)
+        right = open_end[each] & (end > last[each] - BESIDE)
+        none = pa.nulls(len(a), pa.int64())
+        for side, who, other, at, x, y in ((0, row[left], key0[left], (begin - shift)[left], begin[left], end[left]), (1, row[right], key0[right], (end - shift)[right], begin[right], end[right]), (END, row[a], none, none, first, last)):
+            ints = [at.cast(pa.int32()) if at is none else pa.array(at.astype(np.int32)), pa.array(np.full(len(who), side, np.int8)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(other), *ints], names=["key", "key0", "at", "side", "begin", "end"])
+
+
+def _groups(n: int, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last positions of groups among n; ``new`` tells for each but the first whether it begins one."""
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.flatnonzero(np.append(True, new))
+    return a, np.append(a[1:], n) - 1
 
 
 def _beside_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,37 +147,33 @@ def _beside_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs_map(least_words: int):
-    """(key, ends of (key0, at, side, begin, end, beside), words) to merged runs.
+    """(key, ends of (side, begin, end, beside), words) to merged runs: the stretches, and what their begins and ends are extended by.
 
-    A chain's two ends are extended word by word along the words beside the earlier place.
+    An end is extended word by word along the words beside its earlier place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends, (own_at, own) = batch.column(1), _flat(batch.column(2))
             row, parts = np.repeat(np.arange(batch.num_rows), np.diff(ends.offsets.to_numpy())), ends.flatten()
-            (beside_at, beside), names = _flat(parts.field("beside")), ("begin", "end", "at", "side", "key0")
-            begin, end, at, side, key0 = (parts.field(n).to_numpy().astype(np.int64) for n in names)
-            order = np.lexsort((side, end, begin, at + np.where(side == 0, -begin, -end), key0, row))  # a chain's begin, then its end
-            first, last = order[::2], order[1::2]
-            row, begin, end = row[first], begin[first], end[first]
+            lists = parts.field("beside").fill_null([])
+            (beside_at, beside), side = _flat(lists), parts.field("side").to_numpy()
             lo, hi = own_at[row], own_at[row + 1]
-            begin, end = lo + begin, np.minimum(hi, lo + end)
-            on = np.arange(len(row))
+            begin, end = lo + parts.field("begin").to_numpy(), np.minimum(hi, lo + parts.field("end").to_numpy())
+            on = np.flatnonzero(side == 0)
             for j in range(1, BESIDE + 1):
-                on = on[(begin[on] > lo[on]) & (beside_at[first[on] + 1] - j >= beside_at[first[on]])]
-                on = on[own[begin[on] - 1] == beside[beside_at[first[on] + 1] - j]]
+                on = on[(begin[on] > lo[on]) & (beside_at[on + 1] - j >= beside_at[on])]
+                on = on[own[begin[on] - 1] == beside[beside_at[on + 1] - j]]
                 begin[on] -= 1
-            on = np.arange(len(row))
+            on = np.flatnonzero(side == 1)
             for j in range(BESIDE):
-                on = on[(end[on] < hi[on]) & (beside_at[last[on]] + j < beside_at[last[on] + 1])]
-                on = on[own[end[on]] == beside[beside_at[last[on]] + j]]
+                on = on[(end[on] < hi[on]) & (beside_at[on] + j < beside_at[on + 1])]
+                on = on[own[end[on]] == beside[beside_at[on] + j]]
                 end[on] += 1
             order = np.lexsort((begin, row))
             row, begin, end = row[order], begin[order] + row[order], end[order] + row[order]  # documents don't touch
             upto = np.maximum.accumulate(end) if len(end) else end
-            a = np.flatnonzero(np.append(True, begin[1:] > upto[:-1])) if len(end) else np.zeros(0, np.int64)
-            z = np.append(a[1:], len(row))[: len(a)] - 1
+            a, z = _groups(len(row), begin[1:] > upto[:-1])
             row, begin, end = row[a], begin[a] - row[a] - own_at[row[a]], upto[z] - row[a] - own_at[row[a]]
             keep = (end - begin >= least_words) | (end - begin == np.diff(own_at)[row])
             row, span = row[keep], (begin.astype(np.int64) << 32 | end.astype(np.int64))[keep]
@@ -198,18 +220,19 @@ def repeated_runs(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id"
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     texts = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    feats = materialize(texts.mapInArrow(_print_map, "key long, doc_id long, at array<int>, prints array<long>"), "prints")
+    feats = materialize(texts.mapInArrow(_print_map, "key long, doc_id long, at array<long>, prints array<long>"), "prints")
     places = _matches(feats).groupBy("key").agg(F.collect_set(F.struct("key0", "pos", "pos0")).alias("places"))
     chains = materialize(places.mapInArrow(_chain_map, "key long, key0 long, at int, side byte, begin int, end int"), "chains")
 
     def words_of(name: str) -> DataFrame:
-        keys = chains.select(F.col(name).alias("key")).distinct()
+        keys = chains.select(F.col(name).alias("key")).where("key is not null").distinct()
         if keys.count() <= BROADCAST_ROWS:
             keys = F.broadcast(keys)
         # rows that repeat id and text are one document
         return texts.select("key", "text").join(keys, "key", "left_semi").mapInArrow(_word_map, "key long, words array<int>").dropDuplicates(["key"]).withColumnRenamed("key", name)
 
-    ends = chains.groupBy("key0", "at", "side").agg(F.count("*").alias("n"))
+    sides = chains.where(F.col("side") < END)
+    ends = sides.groupBy("key0", "at", "side").agg(F.count("*").alias("n"))
     listed = ends.groupBy("key0").agg(F.collect_list(F.struct("at", "side")).alias("ends"))
     beside = materialize(words_of("key0").join(listed, "key0").select("key0", "words", "ends").mapInArrow(_beside_map, "key0 long, at int, side byte, beside array<int>"), "beside")
     # an end that very many chains share is sent to every task
@@ -217,11 +240,12 @@ def repeated_runs(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id"
     often = materialize(ends.where(F.col("n") > bound).drop("n"), "often")
     on = ["key0", "at", "side"]
     if often.isEmpty():
-        told = chains.join(beside, on)
+        told = sides.join(beside, on)
     else:
         hot = F.broadcast(beside.join(F.broadcast(often), on, "left_semi"))
-        told = chains.join(hot, on).unionByName(chains.join(F.broadcast(often), on, "left_anti").join(beside, on))
-    told = told.groupBy("key").agg(F.collect_list(F.struct("key0", "at", "side", "begin", "end", "beside")).alias("ends"))
+        told = sides.join(hot, on).unionByName(sides.join(F.broadcast(often), on, "left_anti").join(beside, on))
+    told = told.unionByName(chains.where(F.col("side") == END).withColumn("beside", F.lit(None).cast("array<int>")))
+    told = told.groupBy("key").agg(F.collect_list(F.struct("side", "begin", "end", "beside")).alias("ends"))
     return words_of("key").join(told, "key").select("key", "ends", "words").mapInArrow(_runs_map(least_words), "key long, spans array<long>")
 
 
