@@ -57,7 +57,20 @@ class Engine:
         raise NotSupported(f"statement {' '.join(head)!r}")
 
     def query(self, sql: str) -> DataFrame:
-        return self.spark.sql(replace_tables(self.spark, rewrite(sql), self._view))
+        views: list[str] = []
+
+        def view(parts: list[str]) -> str:
+            views.append(self._view(parts))
+            return views[-1]
+
+        try:
+            df = self.spark.sql(replace_tables(self.spark, rewrite(sql), view))
+        finally:
+            for v in views:  # the plan has their relations by now
+                self.spark.catalog.dropTempView(v)
+        if "count(1)" in df.columns and re.search(r"\bcount\s*\(\s*\*\s*\)", sql, re.I):
+            df = df.toDF(*["count(*)" if c == "count(1)" else c for c in df.columns])
+        return df
 
     # -------------------------------------------------- names
     def resolve(self, parts: list[str]) -> tuple[Catalog, str, str]:
@@ -147,7 +160,7 @@ class Engine:
 
     def _describe(self, sql: str) -> DataFrame:
         m = self._match(rf"desc(?:ribe)?\s+(?:table\s+)?{NAME}", sql)
-        rows = [(f.name, sql_type(f.dataType), f.dataType.simpleString(), "YES" if f.nullable else "NO") for f in self.table(m[1]).schema]
+        rows = [(f.name, sql_type(f.dataType), arrow_type(f.dataType), "YES" if f.nullable else "NO") for f in self.table(m[1]).schema]
         return self._frame(rows, "column_name string, sql_type string, data_type string, is_nullable string")
 
     def _show_create(self, sql: str) -> DataFrame:
@@ -155,7 +168,8 @@ class Engine:
         if not m:
             raise NotSupported("only SHOW CREATE TABLE is supported")
         catalog, schema, table = self.resolve(_names(m[1]))
-        return self._frame([(definition(table, catalog.info(self.spark, schema, table)),)], "definition string")
+        name = next(n for n, c in self.catalogs.items() if c is catalog)
+        return self._frame([(definition([name, schema, table], catalog.info(self.spark, schema, table)),)], "definition string")
 
     # -------------------------------------------------- DDL
     def _schema_target(self, name: str) -> tuple[Catalog, str]:
@@ -312,21 +326,45 @@ def sql_type(t) -> str:
     return fixed.get(name, name.upper())
 
 
-def definition(table: str, info: TableInfo) -> str:
-    """CREATE TABLE text: back-quoted names, sorted options."""
+#: Fixed names of types in the columnar format.
+ARROW = {"byte": "Int8", "short": "Int16", "integer": "Int32", "long": "Int64", "float": "Float32", "double": "Float64", "boolean": "Boolean", "string": "Utf8View", "binary": "Binary", "date": "Date32", "timestamp_ntz": "Timestamp(µs)", "timestamp": 'Timestamp(µs, "UTC")', "void": "Null"}
+
+
+def arrow_type(t) -> str:
+    """The name of a type in the columnar format."""
+    name = t.typeName()
+    if name == "array":
+        return f"List({arrow_type(t.elementType)})"
+    if name == "map":
+        return f'Map("key_value": Struct("key": {arrow_type(t.keyType)}, "value": {arrow_type(t.valueType)}), unsorted)'
+    if name == "struct":
+        return "Struct(" + ", ".join(f'"{f.name}": {arrow_type(f.dataType)}' for f in t.fields) + ")"
+    if name == "decimal":
+        return f"Decimal128({t.precision}, {t.scale})"
+    return ARROW.get(name, name)
+
+
+def definition(name: list[str], info: TableInfo) -> str:
+    """CREATE TABLE text: the full name, back-quoted names, a line for each column, sorted options."""
+    from pyspark.sql.types import StructType
+
     def quoted(name: str) -> str:
         return "`" + name.replace("`", "``") + "`"
 
-    lines = [f"  {quoted(c)} {k.upper()}" + ("" if n else " NOT NULL") for c, k, n in info.columns]
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    kinds = StructType.fromDDL(", ".join(f"{quoted(c)} {k}" for c, k, _ in info.columns))
+    lines = [f"{quoted(c)} {sql_type(f.dataType)}" + ("" if n else " NOT NULL") for (c, _, n), f in zip(info.columns, kinds, strict=True)]
     if info.primary_key:
-        lines.append(f"  PRIMARY KEY ({', '.join(map(quoted, info.primary_key))})")
-    out = f"CREATE TABLE {quoted(table)} (\n" + ",\n".join(lines) + "\n)"
+        lines.append(f"PRIMARY KEY ({', '.join(map(quoted, info.primary_key))})")
+    out = f"CREATE TABLE {'.'.join(map(quoted, name))}\n(\n" + ",\n".join(lines) + "\n)"
     if info.partitions:
         out += f"\nPARTITIONED BY ({', '.join(map(quoted, info.partitions))})"
     if info.using:
-        out += f"\nUSING {info.using}"
+        out += f"\nUSING {info.using.upper()}"
     if info.location:
-        out += f"\nLOCATION '{info.location}'"
+        out += f"\nLOCATION {text(info.location)}"
     if info.options:
-        out += "\nWITH (\n" + ",\n".join(f"  '{k}' = '{v}'" for k, v in sorted(info.options.items())) + "\n)"
+        out += "\nWITH (\n" + ",\n".join(f"{text(k)} = {text(v)}" for k, v in sorted(info.options.items())) + "\n)"
     return out
