@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ADD = "struct<path:string,partitionValues:map<string,string>,size:bigint>"
-LOG = f"add {ADD}, remove struct<path:string>, metaData struct<schemaString:string,partitionColumns:array<string>>"
+from ..sql.text import NotSupported
+
+ADD = "struct<path:string,partitionValues:map<string,string>,size:bigint,deletionVector:struct<storageType:string>>"
+LOG = f"add {ADD}, remove struct<path:string>, metaData struct<schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>"
 
 
 def read(spark: SparkSession, location: str) -> DataFrame:
@@ -29,6 +31,10 @@ def read(spark: SparkSession, location: str) -> DataFrame:
     meta = actions.where("metaData is not null").orderBy(F.desc("v")).select("metaData").first()["metaData"]
     files = actions.select("v", F.coalesce("add.path", "remove.path").alias("path"), F.col("add").alias("add")).where("path is not null")
     live = files.groupBy("path").agg(F.max_by("add", F.struct("v", F.col("add").isNotNull())).alias("add")).where("add is not null")
+    if (meta["configuration"] or {}).get("delta.columnMapping.mode", "none") != "none":
+        raise NotSupported("column mapping of transaction-log tables")
+    if not live.where("add.deletionVector is not null").isEmpty():
+        raise NotSupported("deletion vectors of transaction-log tables")
     schema, keys = T.StructType.fromJson(json.loads(meta["schemaString"])), list(meta["partitionColumns"] or [])
     own = T.StructType([f for f in schema if f.name not in keys])
     if not keys:

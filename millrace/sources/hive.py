@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -29,7 +30,12 @@ def storage_format(input_format: str, serde: str) -> str:
     return FORMATS[input_format, serde]
 
 
-def table_format(properties: dict[str, str], table_type: str = "EXTERNAL_TABLE", provider: str = "") -> str:
+#: Fixed: the packages whose input formats are Hudi's, and kinds of views.
+HUDI = ("org.apache.hudi.", "com.uber.hoodie.")
+VIEWS = ("VIRTUAL_VIEW", "MATERIALIZED_VIEW")
+
+
+def table_format(properties: dict[str, str], table_type: str = "EXTERNAL_TABLE", provider: str = "", input_format: str = "") -> str:
     """iceberg, paimon, delta or hive; other kinds of tables are refused."""
     p = {k.lower(): v.lower() for k, v in properties.items()}
     if p.get("table_type") == "iceberg":
@@ -38,9 +44,9 @@ def table_format(properties: dict[str, str], table_type: str = "EXTERNAL_TABLE",
         return "paimon"
     if p.get("spark.sql.sources.provider", provider).lower() == "delta" or p.get("table_type") == "delta":
         return "delta"
-    if p.get("spark.sql.sources.provider") == "hudi" or "hudi" in p.get("storage_handler", ""):
+    if p.get("spark.sql.sources.provider") == "hudi" or "hudi" in p.get("storage_handler", "") or input_format.startswith(HUDI):
         raise NotSupported("Hudi tables")
-    if table_type.upper() == "VIRTUAL_VIEW":
+    if table_type.upper() in VIEWS:
         raise NotSupported("views")
     if p.get("transactional") == "true":
         raise NotSupported("transactional tables")
@@ -59,26 +65,46 @@ class Table:
     partitions: list[tuple[str, list[str]]] | None = None  # (location, raw values); None: found below the location
 
 
+#: Fixed: property keys of the field delimiter, the first that is set counts, and names of escaped bytes.
+FIELD_KEYS = ("field.delim", "serialization.format", "serdeConstants.FIELD_DELIM", "columns.delimited.by")
+ESCAPED = {"\\t": "\t", "\\n": "\n", "\\r": "\r"}
+#: Fixed: endings of compressed text that isn't read.
+REFUSED_CODECS = (".snappy", ".deflate", ".lzo", ".lzo_deflate", ".lz4", ".xz")
+
+
+def delimiter(raw: str) -> str:
+    """A delimiter's character: a decimal byte (negative ones count from 256), an escape, or the first character."""
+    if raw in ESCAPED:
+        return ESCAPED[raw]
+    for pattern, base in ((r"(-?\d{1,3})", 10), (r"\\u([0-9A-Fa-f]+)", 16), (r"\\([0-7]+)", 8), (r"0x([0-9A-Fa-f]+)", 16)):
+        if (m := re.fullmatch(pattern, raw)) and -128 <= int(m[1], base) < (128 if base == 10 else 256):
+            return chr(int(m[1], base) % 256)
+    return raw[0]
+
+
 def text_options(options: dict[str, str]) -> tuple[str, str, int]:
     """(delimiter, null text, header lines); what can't be honoured is refused."""
-    line = options.get("line.delim", "\n")
-    if line != "\n":
+    if delimiter(options.get("line.delim") or "\n") != "\n":
         raise NotSupported("a line delimiter other than newline")
     if options.get("escape.delim") or options.get("escapeChar"):
         raise NotSupported("escape characters")
-    header = int(options.get("skip.header.line.count", "0"))
-    if header > 1:
+    count = options.get("skip.header.line.count", "0").strip()
+    if not count.isdigit():
+        raise SqlError(f"skip.header.line.count is no number: {count!r}")
+    if int(count) > 1:
         raise NotSupported("more than one header line")
-    delimiter = options.get("field.delim") or options.get("serialization.format") or options.get("colelction.delim") or "\x01"
-    delimiter = chr(int(delimiter)) if delimiter.isdigit() and len(delimiter) <= 3 else delimiter
-    return delimiter, options.get("serialization.null.format", NULL_TEXT), header
+    field_key = next((k for k in FIELD_KEYS if k in options), None)
+    return delimiter(options[field_key]) if field_key and options[field_key] else "\x01", options.get("serialization.null.format", NULL_TEXT), int(count)
 
 
 def _text(spark: SparkSession, paths: list[str], schema: T.StructType, options: dict[str, str]) -> DataFrame:
     """All fields as text, then the null text to null, then typed; a bad value is null."""
-    delimiter, null, header = text_options(options)
+    sep, null, header = text_options(options)
+    names = {r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))).distinct().collect()}
+    if bad := sorted(names & set(REFUSED_CODECS)):
+        raise NotSupported(f"text compressed as {', '.join(bad)}")
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    df = spark.read.schema(raw).option("sep", delimiter).option("quote", "").option("header", bool(header)).option("enforceSchema", True).option("recursiveFileLookup", True).option("nullValue", null).option("mode", "PERMISSIVE").csv(paths)
+    df = spark.read.schema(raw).option("sep", sep).option("quote", "").option("header", bool(header)).option("enforceSchema", True).option("recursiveFileLookup", True).option("nullValue", null).option("mode", "PERMISSIVE").csv(paths)
     out = []
     for f in schema:
         c = F.when(F.col(f.name) != null, F.col(f.name))
@@ -129,6 +155,11 @@ def scan(spark: SparkSession, table: Table, keep: str | None = None) -> DataFram
     if not table.partition_columns:
         return _files(spark, table, [table.location], own)
     keys = T.StructType([T.StructField(n, parse_type(t)) for n, t in table.partition_columns])
+    if table.partitions is None and table.format in ("parquet", "orc"):
+        # one scan, whose partitions Spark lists and prunes; it leaves '' and the default partition null
+        names = {n.lower() for n in keys.names}
+        rows = spark.read.schema(T.StructType([*[f for f in own if f.name.lower() not in names], *keys])).format(table.format).load(table.location)
+        return rows.where(keep) if keep is not None else rows
     parts = table.partitions if table.partitions is not None else found_partitions(spark, table)
     if keep is not None and parts:
         # unreadable values are null for pruning, and a null predicate drops the partition

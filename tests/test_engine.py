@@ -42,7 +42,7 @@ def test_show(engine):
     assert rows(engine.sql("show catalogs")) == [("files", "FILES"), ("internal", "INTERNAL"), ("lake", "PAIMON-FS")]
     assert rows(engine.sql("show schemas from files")) == [("sf",)]
     assert rows(engine.sql("show tables from files.sf like '%ion'")) == [("nation",), ("region",)]
-    assert ("r_name", "STRING", "string", "YES") in rows(engine.sql("describe files.sf.region"))
+    assert ("r_name", "STRING", "Utf8View", "YES") in rows(engine.sql("describe files.sf.region"))
     assert rows(engine.sql("show variables like 'spark.sql.ansi.enabled'"))
     assert "Scan" in rows(engine.sql("explain select * from files.sf.region"))[0][1]
 
