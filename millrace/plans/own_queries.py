@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalogs.base import FileCatalog
 from ..catalogs.keyed import KeyedCatalog
 from ..operators import merge
-from ..sources import hive
+from ..sources import avro, hive
 from ..sql.engine import Engine
 
 SEQUENCE = ["ts", "event_id"]
@@ -157,6 +157,9 @@ def _round_trip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
         rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_orderpriority", "cast(o_totalprice as decimal(12,2)) as price", "o_orderstatus")
         if kind == "textfile":
             rows.write.option("sep", "\u0001").option("nullValue", hive.NULL_TEXT).partitionBy("o_orderstatus").csv(at)
+        elif kind == "avro":
+            for status in "FOP":  # the values of the column
+                avro.write(rows.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), f"{at}/o_orderstatus={status}")
         else:
             rows.write.format(kind).partitionBy("o_orderstatus").save(at)
         table = hive.Table(at, [("o_orderkey", "bigint"), ("o_orderpriority", "string"), ("price", "decimal(12,2)"), ("missing", "int")], kind, [("o_orderstatus", "string")])
@@ -189,13 +192,14 @@ ORACLE = {
     "scan_text": _SCAN,
     "scan_parquet": _SCAN,
     "scan_orc": _SCAN,
+    "scan_avro": _SCAN,
     "meta_partitions": "select 'o_orderstatus=' || o_orderstatus as partition, cast(1 as bigint) as data_file_count from orders group by o_orderstatus",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [merge_deduplicate, merge_first_row, merge_partial_update, merge_aggregation, engine_names, engine_qualify, engine_functions, show_catalogs, show_tables, meta_partitions, merge_product]
-    return {f.__name__: f for f in own} | {"scan_text": _round_trip("textfile"), "scan_parquet": _round_trip("parquet"), "scan_orc": _round_trip("orc")} | {name: query for name, (query, _) in STATEMENTS.items()}
+    return {f.__name__: f for f in own} | {"scan_text": _round_trip("textfile"), "scan_parquet": _round_trip("parquet"), "scan_orc": _round_trip("orc"), "scan_avro": _round_trip("avro")} | {name: query for name, (query, _) in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sql.text import NotSupported, SqlError
+from . import avro
 from .hive_types import parse_type, table_schema
 
 DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed name of the null partition
@@ -123,7 +124,9 @@ def _files(spark: SparkSession, table: Table, paths: list[str], schema: T.Struct
         return _text(spark, paths, schema, table.options)
     if table.format in ("parquet", "orc"):
         return spark.read.schema(schema).option("recursiveFileLookup", True).format(table.format).load(paths)
-    raise NotSupported(f"reading {table.format} files without a metastore")
+    if table.format == "avro":
+        return avro.scan(spark, paths, schema)
+    raise NotSupported(f"files of {table.format}")
 
 
 def partition_value(raw: str, kind: T.DataType) -> Column:
