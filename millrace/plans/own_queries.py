@@ -85,6 +85,10 @@ STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "engine_count_name": (_on_files("select c_mktsegment, count(*) from customer group by c_mktsegment"), 'select c_mktsegment, count(*) as "count(*)" from customer group by c_mktsegment'),
     "engine_qualify_inner": (_on_files(_QUALIFY), _QUALIFY),
     "engine_decode": (_on_files("select n_nationkey, encode(decode(base64(cast(n_name as binary)), 'base64'), 'hex') as h, \"encode(x, 'hex')\" as s from nation"), "select n_nationkey, lower(hex(n_name)) as h, 'encode(x, ''hex'')' as s from nation"),
+    "engine_numbers": (_on_files("select c_custkey, gcd(c_custkey, 36) as g, lcm(c_custkey, 6) as l, trunc(c_acctbal) as t, trunc(c_acctbal, 1) as u from customer"), "select c_custkey, gcd(c_custkey, 36) as g, lcm(c_custkey, 6) as l, trunc(c_acctbal) as t, trunc(c_acctbal * 10) / 10 as u from customer"),
+    "engine_regexp_match": (_on_files("select n_nationkey, array_to_string(regexp_match(n_name, '([A-Z]+)_([0-9]+)'), '-') as a, regexp_match(n_name, '1[0-9]')[1] as b from nation"), "select n_nationkey, replace(n_name, '_', '-') as a, nullif(regexp_extract(n_name, '1[0-9]'), '') as b from nation"),
+    "engine_to_char": (_on_files("select o_orderkey, to_char(o_orderdate, '%Y-%m-%dT%H:%M:%S (%j)') as t from orders"), "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S (%j)') as t from orders"),
+    "engine_arrow_types": (_on_files("select n_nationkey, arrow_typeof(n_regionkey) as a, arrow_typeof(make_array(n_name)) as b, arrow_cast(n_regionkey, 'Int64') as c, arrow_typeof(arrow_cast(n_regionkey, 'Decimal128(10, 2)')) as d from nation"), "select n_nationkey, 'Int32' as a, 'List(Utf8View)' as b, cast(n_regionkey as bigint) as c, 'Decimal128(10, 2)' as d from nation"),
     "describe_table": (_on_files("describe region"), _REGION),
     "show_schemas": (_on_files("show schemas from files"), "select 'sf' as schema_name"),
     "lake_insert": (_on_lake("select * from t", _NATIONS, _FILL, "insert into t (name, k, region) values (null, 99, 1)"), "select n_nationkey as k, n_name as name, n_regionkey as region from nation union all select 99, null, 1"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogs.base import Catalog, InternalCatalog, TableInfo
+from .functions import ARROW
 from .resolve import replace_tables
 from .text import NotSupported, SqlError, literal, rewrite, split, unquote, words
 
@@ -326,10 +327,6 @@ def sql_type(t) -> str:
     return fixed.get(name, name.upper())
 
 
-#: Fixed names of types in the columnar format.
-ARROW = {"byte": "Int8", "short": "Int16", "integer": "Int32", "long": "Int64", "float": "Float32", "double": "Float64", "boolean": "Boolean", "string": "Utf8View", "binary": "Binary", "date": "Date32", "timestamp_ntz": "Timestamp(µs)", "timestamp": 'Timestamp(µs, "UTC")', "void": "Null"}
-
-
 def arrow_type(t) -> str:
     """The name of a type in the columnar format."""
     name = t.typeName()
