@@ -1,6 +1,7 @@
 """A catalog over a metastore: it tells a table's format from its properties and reads it by that format.
 
-The metastore is any object with ``databases()``, ``tables(database)`` and ``table(database, name)``;
+The metastore is any object with ``databases()``, ``tables(database)`` and ``table(database, name)``, and with
+``column_statistics(database, name, columns)`` if it keeps some;
 :class:`DictMetastore` keeps its entries in memory, as a file or a test gives them.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import delta, hive
 from ..sources.iceberg import IcebergTable
 from ..sql.text import NotSupported, SqlError
+from . import statistics
 from .base import Catalog, TableInfo
 from .keyed import KeyedCatalog
 
@@ -32,6 +34,7 @@ class Entry:
     parameters: dict[str, str] = field(default_factory=dict)
     table_type: str = "EXTERNAL_TABLE"
     partitions: list[tuple[str, list[str]]] | None = None
+    column_statistics: dict[str, dict] = field(default_factory=dict)
 
 
 class Metastore(Protocol):
@@ -65,6 +68,10 @@ class DictMetastore:
     def table(self, database: str, name: str) -> Entry:
         return self.entries[database][name]
 
+    def column_statistics(self, database: str, name: str, columns: list[str]) -> dict[str, dict]:
+        told = self.table(database, name).column_statistics
+        return {c: told[c] for c in columns if c in told}
+
 
 class MetastoreCatalog(Catalog):
     """Read-only; ``t$suffix`` names a metadata table where the format has it."""
@@ -73,6 +80,7 @@ class MetastoreCatalog(Catalog):
 
     def __init__(self, metastore: Metastore) -> None:
         self.metastore = metastore
+        self.cache = statistics.Cache()
 
     def schemas(self) -> list[str]:
         return self.metastore.databases()
@@ -116,3 +124,25 @@ class MetastoreCatalog(Catalog):
         kind, e = self._entry(schema, table)
         columns = [(f.name, f.dataType.simpleString(), True) for f in self.load(spark, schema, table).schema]
         return TableInfo(columns, [n for n, _ in e.partition_columns], [], "" if kind == "hive" else kind, e.location, dict(e.parameters))
+
+    def statistics(self, spark: SparkSession, schema: str, table: str, keep: str | None = None) -> statistics.Statistics:
+        """Of a Hive table, or of the partitions that ``keep`` leaves; columns only of tables without partitions."""
+        kind, e = self._entry(schema, table)
+        if kind != "hive":
+            raise NotSupported(f"statistics of {kind} tables")
+        own = self._hive(e)
+        want = hive.table_schema(own.columns, own.partition_columns)
+
+        def load() -> tuple[statistics.Statistics, bool]:
+            told, complete = {}, True
+            if not own.partition_columns and hasattr(self.metastore, "column_statistics"):
+                told, complete = statistics.columns(lambda names: self.metastore.column_statistics(schema, table, names), want)
+            known = statistics.from_properties(e.parameters)
+            return statistics.Statistics(known.rows, known.size, told), complete
+
+        known = self.cache.get((schema, table), want, load)
+        if keep is None and None not in (known.rows, known.size):
+            return known
+        chosen = hive.kept_partitions(spark, own, keep) if own.partition_columns else [(own.location, [])]
+        files = hive.data_files(spark, hive.Table(own.location, own.columns, own.format, own.partition_columns, own.options, chosen))
+        return statistics.from_files(known, want, [f["file_size"] for f in files.collect()], keep is not None and bool(own.partition_columns))

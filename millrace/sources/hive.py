@@ -152,6 +152,18 @@ def found_partitions(spark: SparkSession, table: Table) -> list[tuple[str, list[
     return sorted(level)
 
 
+def kept_partitions(spark: SparkSession, table: Table, keep: str | None = None) -> list[tuple[str, list[str]]]:
+    """(location, raw values) of the partitions that a predicate on partition columns leaves."""
+    keys = T.StructType([T.StructField(n, parse_type(t)) for n, t in table.partition_columns])
+    parts = table.partitions if table.partitions is not None else found_partitions(spark, table)
+    if keep is None or not parts:
+        return parts
+    # unreadable values are null for pruning, and a null predicate drops the partition
+    listed = spark.createDataFrame([(k, *[None if v in ("", DEFAULT_PARTITION) else v for v in values]) for k, (_, values) in enumerate(parts)], T.StructType([T.StructField("__k", T.IntegerType()), *[T.StructField(f.name, T.StringType()) for f in keys]]))
+    typed = listed.select("__k", *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in keys])
+    return [parts[r["__k"]] for r in typed.where(keep).orderBy("__k").collect()]
+
+
 def scan(spark: SparkSession, table: Table, keep: str | None = None) -> DataFrame:
     """The table's rows; ``keep`` is a predicate on partition columns that decides which partitions are read."""
     own = T.StructType([T.StructField(n, parse_type(t)) for n, t in table.columns])
@@ -163,14 +175,8 @@ def scan(spark: SparkSession, table: Table, keep: str | None = None) -> DataFram
         names = {n.lower() for n in keys.names}
         rows = spark.read.schema(T.StructType([*[f for f in own if f.name.lower() not in names], *keys])).format(table.format).load(table.location)
         return rows.where(keep) if keep is not None else rows
-    parts = table.partitions if table.partitions is not None else found_partitions(spark, table)
-    if keep is not None and parts:
-        # unreadable values are null for pruning, and a null predicate drops the partition
-        listed = spark.createDataFrame([(k, *[None if v in ("", DEFAULT_PARTITION) else v for v in values]) for k, (_, values) in enumerate(parts)], T.StructType([T.StructField("__k", T.IntegerType()), *[T.StructField(f.name, T.StringType()) for f in keys]]))
-        typed = listed.select("__k", *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in keys])
-        parts = [parts[r["__k"]] for r in typed.where(keep).orderBy("__k").collect()]
     out = None
-    for location, values in parts:
+    for location, values in kept_partitions(spark, table, keep):
         if len(values) != len(keys):
             raise SqlError(f"partition {location} has {len(values)} values, {len(keys)} are wanted")
         df = _files(spark, table, [location], own).select("*", *[partition_value(v, f.dataType).alias(f.name) for v, f in zip(values, keys, strict=True)])
