@@ -7,7 +7,7 @@ _REV = "l_extendedprice * (1 - l_discount)"
 
 def _money(x: str, name: str) -> str:
     """Exact sums: each row is rounded to a decimal first, so the order of addition doesn't matter."""
-    return f"cast(sum(cast({x} as decimal(28, 4))) as double) as {name}"
+    return f"cast(sum(cast({x} as decimal(18, 4))) as double) as {name}"
 
 
 SPARK: dict[str, str] = {
@@ -18,20 +18,20 @@ SPARK: dict[str, str] = {
     "tpch_q05": f"select n_name, {_money(_REV, 'revenue')} from {{customer}}, {{orders}}, {{lineitem}}, {{supplier}}, {{nation}}, {{region}} where c_custkey = o_custkey and l_orderkey = o_orderkey and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_regionkey = 2 group by n_name",
     "tpch_q06": f"select {_money('l_extendedprice * l_discount', 'revenue')} from {{lineitem}} where l_shipdate >= date '1997-01-01' and l_shipdate < date '1997-01-01' + interval '1' year and l_discount between 0.05 and 0.07 and l_quantity < 24",
     "tpch_q07": f"select supp_nation, cust_nation, l_year, {_money('volume', 'revenue')} from (select n1.n_name as supp_nation, n2.n_name as cust_nation, cast(extract(year from l_shipdate) as int) as l_year, {_REV} as volume from {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2 where s_suppkey = l_suppkey and o_orderkey = l_orderkey and c_custkey = o_custkey and s_nationkey = n1.n_nationkey and c_nationkey = n2.n_nationkey and ((n1.n_name = 'NATION_1' and n2.n_name = 'NATION_2') or (n1.n_name = 'NATION_2' and n2.n_name = 'NATION_1'))) shipping group by supp_nation, cust_nation, l_year",
-    "tpch_q08": f"select o_year, round(cast(sum(cast(case when nation = 'NATION_3' then volume else 0 end as decimal(28, 4))) as double) / cast(sum(cast(volume as decimal(28, 4))) as double), 8) as mkt_share from (select cast(extract(year from o_orderdate) as int) as o_year, {_REV} as volume, n2.n_name as nation from {{part}}, {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2, {{region}} where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and r_regionkey = 1 and s_nationkey = n2.n_nationkey and p_type = 'ECONOMY') all_nations group by o_year",
+    "tpch_q08": f"select o_year, round(cast(sum(cast(case when nation = 'NATION_3' then volume else 0 end as decimal(18, 4))) as double) / cast(sum(cast(volume as decimal(18, 4))) as double), 8) as mkt_share from (select cast(extract(year from o_orderdate) as int) as o_year, {_REV} as volume, n2.n_name as nation from {{part}}, {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2, {{region}} where p_partkey = l_partkey and s_suppkey = l_suppkey and l_orderkey = o_orderkey and o_custkey = c_custkey and c_nationkey = n1.n_nationkey and n1.n_regionkey = r_regionkey and r_regionkey = 1 and s_nationkey = n2.n_nationkey and p_type = 'ECONOMY') all_nations group by o_year",
     "tpch_q10": f"select c_custkey, c_name, {_money(_REV, 'revenue')}, c_acctbal, n_name from {{customer}}, {{orders}}, {{lineitem}}, {{nation}} where c_custkey = o_custkey and l_orderkey = o_orderkey and o_orderdate >= date '1997-10-01' and o_orderdate < date '1997-10-01' + interval '3' month and l_returnflag = 'R' and c_nationkey = n_nationkey group by c_custkey, c_name, c_acctbal, n_name order by revenue desc, c_custkey limit 20",
-    "tpch_q11_like": f"select l_suppkey, {_money('l_extendedprice', 'value')} from {{lineitem}} group by l_suppkey having sum(cast(l_extendedprice as decimal(28, 4))) > (select sum(cast(l_extendedprice as decimal(28, 4))) * 0.011 from {{lineitem}})",
+    "tpch_q11_like": f"select l_suppkey, {_money('l_extendedprice', 'value')} from {{lineitem}} group by l_suppkey having sum(cast(l_extendedprice as decimal(18, 4))) > (select sum(cast(l_extendedprice as decimal(18, 4))) * 0.011 from {{lineitem}})",
     "tpch_q12_like": "select l_linestatus, cast(sum(case when o_orderpriority = '1-URGENT' or o_orderpriority = '2-HIGH' then 1 else 0 end) as bigint) as high_line_count, cast(sum(case when o_orderpriority <> '1-URGENT' and o_orderpriority <> '2-HIGH' then 1 else 0 end) as bigint) as low_line_count from {orders}, {lineitem} where o_orderkey = l_orderkey and l_shipdate >= date '1997-01-01' and l_shipdate < date '1998-01-01' group by l_linestatus",
     "tpch_q13_like": "select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count from {customer} left outer join {orders} on c_custkey = o_custkey and o_orderstatus <> 'P' group by c_custkey) c_orders group by c_count",
-    "tpch_q14": f"select round(100.0 * cast(sum(cast(case when p_type like 'PROMO%' then {_REV} else 0 end as decimal(28, 4))) as double) / cast(sum(cast({_REV} as decimal(28, 4))) as double), 6) as promo_revenue from {{lineitem}}, {{part}} where l_partkey = p_partkey and l_shipdate >= date '1997-09-01' and l_shipdate < date '1997-09-01' + interval '1' month",
-    "tpch_q15_like": f"with revenue0 as (select l_suppkey as supplier_no, sum(cast({_REV} as decimal(28, 4))) as total_revenue from {{lineitem}} where l_shipdate >= date '1997-01-01' and l_shipdate < date '1997-01-01' + interval '3' month group by l_suppkey) select s_suppkey, s_name, cast(total_revenue as double) as total_revenue from {{supplier}}, revenue0 where s_suppkey = supplier_no and total_revenue = (select max(total_revenue) from revenue0)",
+    "tpch_q14": f"select round(100.0 * cast(sum(cast(case when p_type like 'PROMO%' then {_REV} else 0 end as decimal(18, 4))) as double) / cast(sum(cast({_REV} as decimal(18, 4))) as double), 6) as promo_revenue from {{lineitem}}, {{part}} where l_partkey = p_partkey and l_shipdate >= date '1997-09-01' and l_shipdate < date '1997-09-01' + interval '1' month",
+    "tpch_q15_like": f"with revenue0 as (select l_suppkey as supplier_no, sum(cast({_REV} as decimal(18, 4))) as total_revenue from {{lineitem}} where l_shipdate >= date '1997-01-01' and l_shipdate < date '1997-01-01' + interval '3' month group by l_suppkey) select s_suppkey, s_name, cast(total_revenue as double) as total_revenue from {{supplier}}, revenue0 where s_suppkey = supplier_no and total_revenue = (select max(total_revenue) from revenue0)",
     "tpch_q16_like": "select p_brand, p_type, count(distinct l_suppkey) as supplier_cnt from {lineitem}, {part} where p_partkey = l_partkey and p_brand <> 'Brand#5' and p_size in (9, 14, 19, 23, 36, 45, 49, 3) and l_suppkey not in (select s_suppkey from {supplier} where s_acctbal < 0) group by p_brand, p_type",
-    "tpch_q17_like": f"select cast(sum(cast(l_extendedprice as decimal(28, 4))) as double) / 7.0 as avg_yearly from {{lineitem}}, {{part}} where p_partkey = l_partkey and p_brand = 'Brand#3' and l_quantity < (select 0.5 * avg(l_quantity) from {{lineitem}} l2 where l2.l_partkey = p_partkey)",
+    "tpch_q17_like": f"select cast(sum(cast(l_extendedprice as decimal(18, 4))) as double) / 7.0 as avg_yearly from {{lineitem}}, {{part}} where p_partkey = l_partkey and p_brand = 'Brand#3' and l_quantity < (select 0.5 * avg(l_quantity) from {{lineitem}} l2 where l2.l_partkey = p_partkey)",
     "tpch_q18": f"select c_name, c_custkey, o_orderkey, cast(o_orderdate as date) as o_orderdate, o_totalprice, {_money('l_quantity', 'sum_qty')} from {{customer}}, {{orders}}, {{lineitem}} where o_orderkey in (select l_orderkey from {{lineitem}} group by l_orderkey having sum(l_quantity) > 200) and c_custkey = o_custkey and o_orderkey = l_orderkey group by c_name, c_custkey, o_orderkey, cast(o_orderdate as date), o_totalprice order by o_totalprice desc, o_orderdate, o_orderkey limit 100",
     "tpch_q19_like": f"select {_money(_REV, 'revenue')} from {{lineitem}}, {{part}} where (p_partkey = l_partkey and p_brand = 'Brand#1' and l_quantity >= 1 and l_quantity <= 11 and p_size between 1 and 15) or (p_partkey = l_partkey and p_brand = 'Brand#2' and l_quantity >= 10 and l_quantity <= 20 and p_size between 1 and 25) or (p_partkey = l_partkey and p_brand = 'Brand#3' and l_quantity >= 20 and l_quantity <= 30 and p_size between 1 and 35)",
     "tpch_q20_like": "select s_suppkey, s_name from {supplier} where s_suppkey in (select l_suppkey from {lineitem} where l_partkey in (select p_partkey from {part} where p_name like 's%') and l_quantity > (select 0.9 * max(l2.l_quantity) from {lineitem} l2 where l2.l_suppkey = {lineitem}.l_suppkey))".replace("from {lineitem} where l_partkey", "from {lineitem} l1 where l_partkey").replace("{lineitem}.l_suppkey", "l1.l_suppkey"),
     "tpch_q21_like": "select s_name, count(*) as numwait from {supplier}, {lineitem} l1, {orders} where s_suppkey = l1.l_suppkey and o_orderkey = l1.l_orderkey and o_orderstatus = 'F' and l1.l_returnflag = 'R' and exists (select 1 from {lineitem} l2 where l2.l_orderkey = l1.l_orderkey and l2.l_suppkey <> l1.l_suppkey) and not exists (select 1 from {lineitem} l3 where l3.l_orderkey = l1.l_orderkey and l3.l_suppkey <> l1.l_suppkey and l3.l_returnflag = 'R') group by s_name",
-    "tpch_q22_like": "select cntrycode, count(*) as numcust, cast(sum(cast(c_acctbal as decimal(28, 4))) as double) as totacctbal from (select substring(c_name, 10, 2) as cntrycode, c_acctbal from {customer} where c_acctbal > (select avg(c_acctbal) from {customer} where c_acctbal > 0.00) and not exists (select 1 from {orders} where o_custkey = c_custkey)) custsale group by cntrycode",
+    "tpch_q22_like": "select cntrycode, count(*) as numcust, cast(sum(cast(c_acctbal as decimal(18, 4))) as double) as totacctbal from (select substring(c_name, 10, 2) as cntrycode, c_acctbal from {customer} where c_acctbal > (select avg(c_acctbal) from {customer} where c_acctbal > 0.00) and not exists (select 1 from {orders} where o_custkey = c_custkey)) custsale group by cntrycode",
     # ---------------------------------------------------------------- projections and predicates
     "project_alias_arith": "select o_orderkey, o_totalprice * 2 + 1 as twice, o_custkey % 7 as bucket, -o_custkey as negative from {orders}",
     "pred_compare": "select p_partkey from {part} where p_size > 10 and 40 >= p_size and p_size <> 20 and p_retailprice < 1500",
@@ -83,7 +83,7 @@ SPARK: dict[str, str] = {
     "win_rank_family": "select p_partkey, row_number() over w as rn, rank() over w2 as rk, dense_rank() over w2 as dr, round(percent_rank() over w2, 8) as pr, round(cume_dist() over w2, 8) as cd, ntile(4) over w as nt from {part} window w as (partition by p_brand order by p_size, p_partkey), w2 as (partition by p_brand order by p_size)",
     "win_lag_lead": "select event_id, lag(value) over w as prev, lead(value, 2) over w as next2, lag(value, 1, -1) over w as dflt from {events} window w as (partition by user_id order by ts, event_id)",
     "win_nth": "select event_id, first_value(value) over w as f, last_value(value) over w as l, nth_value(value, 2) over w as n from {events} window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)",
-    "win_rows_frame": "select o_orderkey, cast(sum(cast(o_totalprice as decimal(28, 4))) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row) as double) as s from {orders}",
+    "win_rows_frame": "select o_orderkey, cast(sum(cast(o_totalprice as decimal(18, 4))) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row) as double) as s from {orders}",
     "win_range_frame": "select p_partkey, count(*) over (partition by p_brand order by p_size range between 3 preceding and 3 following) as n from {part}",
     "win_groups_frame": "select p_partkey, count(*) over (partition by p_brand order by g range between 1 preceding and current row) as n from (select p_partkey, p_brand, dense_rank() over (partition by p_brand order by p_size) as g from {part}) t",
     "win_agg": "select c_custkey, max(c_acctbal) over (partition by c_nationkey) as top, count(*) over (partition by c_nationkey) as n from {customer}",
