@@ -4,7 +4,7 @@ A task takes the distinct words (matches of the split pattern) of a block of doc
 corpus.  An inverted index leads from the rank of a mergeable token pair to the word positions where
 that pair stands.  Ranks are replayed in ascending order; a merge touches only the two neighbouring
 pairs.  Replaying per block gives the same ids as over the whole table, since merges never cross a
-word; it needs no shuffle, and memory is bounded by the block and a cache of known words.
+word; it needs no shuffle, and memory is bounded by the block and a cache of known words, which ends with the task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import gc
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, return_freed_memory
+from .storage import bounded_batches, return_freed_memory, trim
 
 # Code points that the `regex` package takes for letters or numbers (a later Unicode
 # version) while the tiktoken library's tables leave them unassigned.
@@ -34,8 +35,8 @@ LATER_LETTERS = (
     "\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4"
     "\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
 )
-BLOCK_CHARS = 2 << 20  # characters of a block; a longer text is a block of its own
-CACHE_WORDS = 300_000  # words of a generation that a task keeps between blocks; two generations are kept
+BLOCK_CHARS = 1 << 19  # characters of a block; a longer text is a block of its own
+CACHE_WORDS = 150_000  # words of a generation that a task keeps between blocks; two generations are kept
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -224,27 +225,29 @@ def blocks_of(texts: list[str]) -> Iterator[list[str]]:
         yield own
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizer] = {}
-
-
-def _tokenizer(path: str, pattern: str) -> Tokenizer:
+@contextmanager
+def _tokenizer(path: str, pattern: str) -> Iterator[Tokenizer]:
+    """A tokenizer for one task: the worker lives on for later stages, and would hold the known words beside their data."""
     return_freed_memory()
-    if (path, pattern) not in _TOKENIZERS:
-        _TOKENIZERS[path, pattern] = Tokenizer(path, pattern)
-    return _TOKENIZERS[path, pattern]
+    tok = Tokenizer(path, pattern)
+    try:
+        yield tok
+    finally:
+        tok.__dict__.clear()
+        trim()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, ids array<int>.  A null text is an empty one: no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path, pattern)
-        for batch in batches:
-            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-            for block in blocks_of(texts):
-                ids = tok.encode_block(block)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                at += len(block)
+        with _tokenizer(path, pattern) as tok:
+            for batch in batches:
+                texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+                for block in blocks_of(texts):
+                    ids = tok.encode_block(block)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    at += len(block)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -253,9 +256,9 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, ids to doc_id, data binary; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path, "")
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else tok.decode(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
+        with _tokenizer(path, "") as tok:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else tok.decode(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "data"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
@@ -269,15 +272,15 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path, pattern)
         sha = hashlib.sha256
-        for batch in batches:
-            n, a, b = [], [], []
-            for block in blocks_of([t or "" for t in batch.column(1).to_pylist()]):
-                for ids in tok.encode_joined(block):
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    a.append(sha(ids.encode()).hexdigest())
-                    b.append(sha(tok.decode_joined(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _tokenizer(path, pattern) as tok:
+            for batch in batches:
+                n, a, b = [], [], []
+                for block in blocks_of([t or "" for t in batch.column(1).to_pylist()]):
+                    for ids in tok.encode_joined(block):
+                        n.append(ids.count(",") + 1 if ids else 0)
+                        a.append(sha(ids.encode()).hexdigest())
+                        b.append(sha(tok.decode_joined(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -73,6 +73,13 @@ def return_freed_memory() -> None:
         libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
 
 
+def trim() -> None:
+    """Give what this worker has freed in small pieces back to the system."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`new_folder` through the file system that holds it."""
     jvm = spark._jvm
