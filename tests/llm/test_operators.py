@@ -101,6 +101,32 @@ def test_jaccard_large_groups(spark, monkeypatch, cell, frequent):
     assert 8 < len(set(got.values())) < len(rows)
 
 
+def test_jaccard_leaves_the_driver_little(spark, monkeypatch):
+    """Only one text of each class in a group is read again, by a key of one long; the driver collects its garbage as steps end."""
+    from millrace.llm import near_duplicates as nd
+
+    rng, held = random.Random(4), {}
+    rows = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(30)]
+    rows += [rows[0][:59] + ["other"], rows[1][:58]]
+    docs = spark.createDataFrame([(7, " ".join(w)) for w in rows], "doc_id long, text string").repartition(2)
+    keep = nd.materialize
+
+    def noted(df, name):
+        held[name] = keep(df, name)
+        return held[name]
+
+    def collections_so_far():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if not re.search("Young|Scavenge|ParNew|Copy", b.getName()))
+
+    monkeypatch.setattr(nd, "materialize", noted)
+    before = collections_so_far()
+    assert nd.jaccard_components(docs).count() == 32
+    assert held["speakers"].dtypes == [("row_key", "bigint")]
+    assert held["sets"].count() == held["sets"].select("cls").distinct().count() == 4
+    assert collections_so_far() - before >= 8
+
+
 def test_size_ranges():
     from millrace.llm.near_duplicates import size_ranges
 
